@@ -1,4 +1,4 @@
-"""Registry of the analytics queries."""
+"""Registry of the analytics queries; each module of plans adds its own."""
 
 from __future__ import annotations
 
@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from grovemark.operators import graph, quality
+from grovemark.plans import calibration_queries, fixtures, graph_queries, quality_queries, vote_queries
+from grovemark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+_MODULES = (quality_queries, graph_queries, vote_queries, calibration_queries)
+_Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.count(F.lit(1)).alias("n"))
+    """Hierarchical and flat quality in one row."""
+    g, p = fixtures.gold(spark, sf_dir), fixtures.pred(spark, sf_dir)
+    flat = quality.micro(g, p).select(*[F.col(c).alias(f"flat_{c}") for c in ("precision", "recall", "f1")])
+    return graph.cohort(graph.h_counts(g, p, fixtures.closed(spark, sf_dir))).crossJoin(flat)
