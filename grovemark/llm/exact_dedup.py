@@ -32,15 +32,16 @@ def normal(text_col: str) -> Column:
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, max_keys: int = MAX_KEYS) -> DataFrame:
     """doc_id, hit, hash. hit: the document survives the first two levels; hash: its SHA-256, null for the rest unless
     digest_all asks for it too."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), normal(text_col).alias("norm"))
-    long = rows.withColumn("len", F.octet_length("norm"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # Lower-casing A-Z keeps the length; a level lower-cases only what it hashes.
+    long = rows.withColumn("len", F.octet_length("text"))
     # Level 1. There are at most as many lengths as the longest text has bytes.
     lengths = long.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len")
-    begun = long.withColumn("prefix", F.xxhash64(F.substring("norm", 1, PREFIX)))
+    begun = long.withColumn("prefix", F.xxhash64(ascii_lower(F.substring("text", 1, PREFIX))))
     # Level 2, over narrow rows.
     keys = begun.select("len", "prefix").join(lengths, "len", "left_semi").groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keys = stored(keys.select("len", "prefix", F.lit(True).alias("hit")), "dedup-keys")
-    full, hit = F.sha2("norm", 256), F.coalesce("hit", F.lit(False))
+    full, hit = F.sha2(ascii_lower(F.col("text")), 256), F.coalesce("hit", F.lit(False))
     # Level 3.
     if keys.count() <= max_keys:
         met = begun.join(F.broadcast(keys), ["len", "prefix"], "left").withColumn("hit", hit)
