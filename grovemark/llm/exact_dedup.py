@@ -35,8 +35,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # Lower-casing A-Z keeps the length; a level lower-cases only what it hashes.
     long = rows.withColumn("len", F.octet_length("text"))
-    # Level 1. There are at most as many lengths as the longest text has bytes.
-    lengths = long.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len")
+    # Level 1. There are at most as many lengths as the longest text has bytes; a join by a frequent one would land in a task.
+    lengths = stored(long.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len"), "dedup-lengths")
+    if lengths.count() <= max_keys:
+        lengths = F.broadcast(lengths)
     begun = long.withColumn("prefix", F.xxhash64(ascii_lower(F.substring("text", 1, PREFIX))))
     # Level 2, over narrow rows.
     keys = begun.select("len", "prefix").join(lengths, "len", "left_semi").groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
