@@ -5,8 +5,9 @@ documents of a repeated length a hash of the text's beginning, and for documents
 text. Only those survivors' texts are hashed in full. Of a group the row with the largest id stays.
 
 The surviving keys are broadcast while they are few (their count is taken and checked); beyond that every text is hashed in
-the scan and the narrow rows are joined, so no text is shuffled to find the groups. Groups are counted by partial aggregation and joined
-back, where adaptive execution splits hot keys.
+the scan and the narrow rows are joined, so no text is shuffled to find the groups. Groups are counted by partial
+aggregation and met with their rows again by broadcast while they are few; beyond that only the groups of over HOT rows are
+(there can be at most rows / HOT of them) and the rest, of bounded size, by a join. So no group lands in one task whole.
 
 Defined cases: a null text equals an empty one; a null id never wins over another id; of rows that repeat with the same id
 and text exactly one counts as kept; an empty table gives an empty result; other columns are carried along untouched.
@@ -23,6 +24,8 @@ from grovemark.llm.common import ascii_lower, drop_rows, stored, table
 PREFIX = 256
 #: Keys that may be broadcast: 32 bytes each in memory and under 100 MB in all.
 MAX_KEYS = 1_000_000
+#: Rows of a group that one task may take in a join.
+HOT = 100_000
 
 
 def normal(text_col: str) -> Column:
@@ -53,26 +56,38 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return met.select("doc_id", "hit", F.when(F.col("hit") | F.lit(digest_all), F.col("hash")).alias("hash"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, max_keys: int = MAX_KEYS) -> DataFrame:
+def with_groups(held: DataFrame, groups: DataFrame, max_keys: int = MAX_KEYS, hot: int = HOT) -> DataFrame:
+    """held joined to groups(hash, keep_id, group_size) by hash, without gathering a large group in one task."""
+    groups = stored(groups, "dedup-groups")
+    if groups.count() <= max_keys:
+        return held.join(F.broadcast(groups), "hash")
+    # At most rows / hot groups are hot: few at any size.
+    large = groups.where(F.col("group_size") > hot)
+    marked = held.join(F.broadcast(large), "hash", "left")
+    rest = marked.where("group_size is null").drop("keep_id", "group_size").join(groups.where(F.col("group_size") <= hot), "hash")
+    return marked.where("group_size is not null").unionByName(rest)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, max_keys: int = MAX_KEYS, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, hash (as in signatures())."""
     rows = stored(signatures(docs, id_col, text_col, digest_all, max_keys), "dedup-rows")
     hits = rows.where("hit")
     # Repeated (id, hash) rows travel as one with a count.
     held = hits.groupBy("hash", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     groups = hits.groupBy("hash").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    found = held.join(groups, "hash").withColumn("i", F.explode(F.expr("sequence(1L, n)")))
+    found = with_groups(held, groups, max_keys, hot).withColumn("i", F.explode(F.expr("sequence(1L, n)")))
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)
     found = found.select("doc_id", "keep_id", "group_size", first.alias("kept"), "hash")
     alone = rows.where("not hit").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "hash")
     return found.unionByName(alone)
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_keys: int = MAX_KEYS) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_keys: int = MAX_KEYS, hot: int = HOT) -> DataFrame:
     """The documents without the copies, with all their columns."""
     hits = stored(signatures(docs, id_col, text_col, max_keys=max_keys), "dedup-rows").where("hit")
-    groups = hits.groupBy("hash").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    held = hits.groupBy("hash", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(groups, "hash")
-    same = F.col("doc_id").eqNullSafe(F.col("keep"))
+    groups = hits.groupBy("hash").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    held = with_groups(hits.groupBy("hash", "doc_id").agg(F.count(F.lit(1)).alias("n")), groups, max_keys, hot)
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # What goes; tied: rows that repeat with the id that stays, of which one does.
     goes = held.select(F.col("doc_id").alias("id"), F.col("hash").alias("key"), same.alias("tied"), "n").where("not tied or n > 1")
     return drop_rows(docs, goes, id_col, F.sha2(normal(text_col), 256), max_keys)

@@ -75,16 +75,16 @@ def test_chats(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("max_keys", [1_000_000, 0])
-def test_exact_copies(docs, max_keys):
-    out = exact_dedup.exact_groups(docs, max_keys=max_keys).collect()
+@pytest.mark.parametrize(("max_keys", "hot"), [(1_000_000, 100_000), (0, 100_000), (0, 3)])
+def test_exact_copies(docs, max_keys, hot):
+    out = exact_dedup.exact_groups(docs, max_keys=max_keys, hot=hot).collect()
     texts = defaultdict(list)
     for r in docs.collect():
         texts[lower(r["text"])].append(r["doc_id"])
     want = Counter((i, max((x for x in ids if x is not None), default=None), len(ids)) for ids in texts.values() for i in ids)
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in out) == want
     assert sum(r["kept"] for r in out) == len(texts)
-    left = exact_dedup.drop_exact_copies(docs, max_keys=max_keys)
+    left = exact_dedup.drop_exact_copies(docs, max_keys=max_keys, hot=hot)
     assert left.columns == docs.columns and left.count() == len(texts) and left.select(F.lower("text")).where("lower(text) = 'a b c'").count() == 1
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
