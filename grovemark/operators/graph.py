@@ -162,3 +162,19 @@ def bottleneck(edges: DataFrame, scores: DataFrame, max_levels: int = 64) -> Dat
         step = wide.groupBy("report", "node").agg(F.max(F.least("r", F.coalesce("score", F.lit(0.0)))).alias("r"))
         done = done.unionByName(settled(step.select("report", F.col("node").alias("term"), "r")))
     return done
+
+
+def components(links: DataFrame, most: int = 100) -> DataFrame:
+    """node, root: the smallest node that each node of links(a, b) is connected to. Every round takes the least root among
+    neighbours and then the root's own root, so long chains halve; one shuffle per join, nothing on the driver but a count."""
+    both = settled(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    now = settled(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
+    for _ in range(most):
+        near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("root").alias("low"))
+        step = now.join(near, now.node == near.a, "left").select("node", "root", F.least("root", "low").alias("next"))
+        up = now.select(F.col("node").alias("next"), F.col("root").alias("above"))
+        then = settled(step.join(up, "next", "left").select("node", F.least("next", "above").alias("root"), (F.least("next", "above") < F.col("root")).alias("moved")))
+        now = then.select("node", "root")
+        if then.where("moved").isEmpty():
+            return now
+    raise RuntimeError(f"the components have not settled after {most} rounds")

@@ -1,9 +1,18 @@
-"""String expressions over model replies and reports; all stay in the JVM."""
+"""String expressions over model replies and reports; all stay in the JVM but accent stripping, an Arrow batch function."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Marks of reasoning blocks, endings that are no plural, and what may end a line.
+REASONING = (r"(?is)<think>.*?</think>", r"(?is)<unused94>.*?</?unused95>", r"(?is)^.*?</think>", r"(?is)<think>.*$", r"(?is)<unused94>.*$")
+NOT_PLURAL = ("ss", "us", "is")
+LINE_ENDS = ".;:,!?"
 
 
 def tokens(c: Column) -> Column:
@@ -23,3 +32,79 @@ def answer(c: Column) -> Column:
     """YES or NO by the last such word standing alone, else AMBIGUOUS."""
     found = F.regexp_extract_all(F.lower(c), F.lit(r"\b(yes|no)\b"), F.lit(1))
     return F.coalesce(F.upper(F.try_element_at(found, F.lit(-1))), F.lit("AMBIGUOUS"))
+
+
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def answer_only(c: Column) -> Column:
+    """The reply without reasoning: closed blocks, what precedes a bare closing mark, and blocks that never close."""
+    for pattern in REASONING:
+        c = F.regexp_replace(c, pattern, " ")
+    return trimmed(c)
+
+
+@F.pandas_udf(T.StringType())
+def without_accents(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else t if t.isascii() else "".join(x for x in unicodedata.normalize("NFD", t) if unicodedata.category(x) != "Mn"))
+
+
+def words(c: Column) -> Column:
+    """Lower-cased words without accents; a hyphen between a capital and a digit goes, other hyphens and quotes part words."""
+    plain = without_accents(F.lower(F.regexp_replace(c, r"(?<=[A-Z])-(?=[0-9])", "")))
+    return F.filter(F.split(F.regexp_replace(plain, r"[-_\"'\\\\\t\r\n\u2018\u2019]", " "), r"\s+"), lambda w: w != "")
+
+
+def bag_key(c: Column) -> Column:
+    """One key for all orders of the same words."""
+    return F.array_join(F.array_sort(F.split(c, " ")), " ")
+
+
+def surface_key(c: Column) -> Column:
+    return F.lower(trimmed(F.regexp_replace(c, r"\s+", " ")))
+
+
+def signature(c: Column) -> Column:
+    """Sixteen hex digits that agree for texts of equal tokens in equal order."""
+    return F.substring(F.sha2(F.array_join(tokens(c), " "), 256), 1, 16)
+
+
+def singular(w: Column) -> Column:
+    low, n = F.lower(w), F.length(w)
+    plural = (n > 3) & low.endswith("s") & ~low.rlike(f"({'|'.join(NOT_PLURAL)})$")
+    cut = lambda k: F.substring(w, F.lit(1), n - k)
+    return F.when((n > 4) & low.endswith("ies"), F.concat(cut(3), F.lit("y"))).when((n > 4) & low.rlike("(s|x|z|ch|sh)es$"), cut(2)).when(plural, cut(1)).otherwise(w)
+
+
+def singular_variants(c: Column) -> Column:
+    """All words made singular, then the last one only; without the text itself and without repeats."""
+    t = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    n = F.size(t)
+    every = F.array_join(F.transform(t, singular), " ")
+    last = F.array_join(F.transform(t, lambda w, i: F.when(i == n - 1, singular(w)).otherwise(w)), " ")
+    return F.filter(F.array_distinct(F.array(every, last)), lambda v: (v != c) & (n > 0))
+
+
+def conjuncts(c: Column) -> Column:
+    """Parts at commas and semicolons; none where there is neither."""
+    parts = F.transform(F.split(c, "[,;]"), lambda p: F.regexp_replace(p, r"^[ \t.;,]+|[ \t.;,]+$", ""))
+    return F.when(c.rlike("[,;]"), F.filter(parts, lambda p: p != "")).otherwise(F.array().cast("array<string>"))
+
+
+def terminated(c: Column) -> Column:
+    """Every line stripped at its end and, unless blank or already ended, closed with a semicolon."""
+    line = lambda x: F.regexp_replace(x, r"\s+$", "")
+    return F.array_join(F.transform(F.split(c, "\n"), lambda x: F.when((line(x) != "") & ~line(x).rlike(f"[{LINE_ENDS}]$"), F.concat(line(x), F.lit(";"))).otherwise(line(x))), "\n")
+
+
+def echo_rate(reply: Column, source: Column) -> Column:
+    """Share of a reply's words, given as arrays, that its source holds too; 0 without words."""
+    return F.coalesce(F.try_divide(F.size(F.filter(reply, lambda w: F.array_contains(source, w))).cast("double"), F.size(reply).cast("double")), F.lit(0.0))
+
+
+def word_runs(c: Column, n: int) -> Column:
+    """Distinct runs of n consecutive lower-cased words."""
+    w = F.transform(F.regexp_extract_all(c, F.lit("[a-zA-ZäöüÄÖÜß0-9]+"), F.lit(0)), F.lower)
+    runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return F.when(F.size(w) >= n, F.array_distinct(runs))
