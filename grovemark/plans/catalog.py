@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovemark.operators import graph, quality
-from grovemark.plans import calibration_queries, fixtures, graph_queries, more_queries, quality_queries, text_queries, vote_queries
+from grovemark.plans import calibration_queries, fixtures, graph_queries, more_queries, quality_queries, text_queries, traversal_queries, vote_queries
 from grovemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
-_MODULES = (quality_queries, graph_queries, vote_queries, calibration_queries, more_queries, text_queries)
+_MODULES = (quality_queries, graph_queries, vote_queries, calibration_queries, more_queries, text_queries, traversal_queries)
 _Query = Callable[[SparkSession, str], DataFrame]
 
 
