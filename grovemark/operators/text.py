@@ -104,7 +104,8 @@ def echo_rate(reply: Column, source: Column) -> Column:
 
 
 def word_runs(c: Column, n: int) -> Column:
-    """Distinct runs of n consecutive lower-cased words."""
-    w = F.transform(F.regexp_extract_all(c, F.lit("[a-zA-ZäöüÄÖÜß0-9]+"), F.lit(0)), F.lower)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(runs))
+    """Distinct runs of n consecutive lower-cased words; null with fewer words. The words are bound to a variable, else each
+    run would extract them from the text again."""
+    words_ = F.transform(F.regexp_extract_all(c, F.lit("[a-zA-ZäöüÄÖÜß0-9]+"), F.lit(0)), F.lower)
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return F.element_at(F.transform(F.array(words_), lambda w: F.when(F.size(w) >= n, F.array_distinct(runs(w)))), 1)
