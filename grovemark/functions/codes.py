@@ -11,7 +11,7 @@ def parse_codes(cell: Column) -> Column:
     repeats, in first-seen order. Null is empty."""
     bare = F.regexp_replace(F.coalesce(cell, F.lit("")), r"^\s*\[|\]\s*$|[\"'‘’“”]", "")
     parts = F.when(bare.contains(";"), F.split(bare, ";")).otherwise(F.split(bare, ","))
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda c: c != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda c: c != ""))
 
 
 def normal_code(c: Column, prefix: str = "HP") -> Column:

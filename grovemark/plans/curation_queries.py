@@ -71,7 +71,7 @@ def _(spark, d):
 
 
 @query("code_cells", "id:i n:i codes:s",
-       sql("SELECT id, count(*) AS n, string_agg(c, '|' ORDER BY ln) AS codes FROM (SELECT l_orderkey AS id, 'P' || l_partkey AS c, min(l_linenumber) AS ln FROM lineitem GROUP BY ALL) GROUP BY id"))
+       sql("SELECT id, count(*) AS n, string_agg(c, '|' ORDER BY ln, c) AS codes FROM (SELECT l_orderkey AS id, 'P' || l_partkey AS c, min(l_linenumber) AS ln FROM lineitem GROUP BY ALL) GROUP BY id"))
 def _(spark, d):
     """Cells of codes in the three spellings that files use, read by one rule."""
     li = fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", fx.part("l_partkey").alias("c")))).alias("x"))

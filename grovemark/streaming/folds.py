@@ -15,5 +15,6 @@ def fold_stream(events: DataFrame, name: str, checkpoint: str):
 
 def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 hour", late: str = "1 hour", by: str = "event_type") -> DataFrame:
     """Events per tumbling window and kind; on a stream, windows older than the watermark are dropped from state."""
-    timed = events.withWatermark(ts, late) if events.isStreaming else events
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    timed = timed.withWatermark(ts, late) if events.isStreaming else timed
     return timed.groupBy(F.window(ts, size).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), by, "n")
