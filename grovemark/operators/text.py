@@ -24,7 +24,7 @@ def segments(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, segment_idx, segment: split at line ends and where a sentence end is followed by a capital or digit; segments of
     up to three characters go."""
     parts = F.split(F.col(text), r"\n|(?<=[.!?])[ \t]+(?=[A-Z0-9])")
-    kept = F.filter(F.transform(parts, F.trim), lambda s: F.length(s) > 3)
+    kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda s: F.length(s) > 3)
     return texts.select(key, F.posexplode(kept).alias("segment_idx", "segment"))
 
 
