@@ -6,6 +6,10 @@ level does not carry those before it. Self-joins use the closure, whose size is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,14 +133,15 @@ def nearest(gold: DataFrame, edges: DataFrame, max_hops: int = 64) -> DataFrame:
         step = new.join(both, new.term == both.x).groupBy("report", F.col("y").alias("term")).agg(F.min("source").alias("source"))
         new = settled(step.join(done, ["report", "term"], "left_anti").select("report", "term", F.lit(hop).alias("distance"), "source"))
         if new.isEmpty():
-            break
+            return done
         done = done.unionByName(new)
-    return done
+    raise ValueError("some distances are above max_hops")
 
 
 def near_misses(gold: DataFrame, pred: DataFrame, edges: DataFrame) -> DataFrame:
-    """report, term, distance of each false positive: 1 or 2 steps to a gold term of the report, else -1. Both sides step
-    once to their neighbours and meet there, so a term's neighbourhood is never expanded twice."""
+    """report, term, distance of each false positive: 1 or 2 steps to a gold term of the report, else -1, be it farther or
+    without any; near_miss_distances() has the full distances. Both sides step once to their neighbours and meet there, so
+    a term's neighbourhood is never expanded twice."""
     both = edges.select(F.col("child").alias("term"), F.col("parent").alias("next")).union(edges.select("parent", "child")).distinct()
     g = gold.select("report", "term").distinct()
     wrong = pred.select("report", "term").distinct().join(g, ["report", "term"], "left_anti")
@@ -147,6 +152,86 @@ def near_misses(gold: DataFrame, pred: DataFrame, edges: DataFrame) -> DataFrame
     return wrong.join(best, ["report", "term"], "left").na.fill(-1, ["distance"])
 
 
+def pair_distances(pairs: DataFrame, both: DataFrame) -> DataFrame:
+    """term, other, distance of distinct pairs of nodes along both(x, y), which holds every edge in both directions; pairs
+    that no path joins are left out. 64 terms walk at once, a bit each, and every hop is one pass over the edges, which
+    travel to the tasks: 16 bytes an edge."""
+    ends = both.select("x", "y").toPandas()
+    names, at = np.unique(ends["y"].to_numpy(dtype=str), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    source, starts = np.searchsorted(names, ends["x"].to_numpy(dtype=str))[order], np.searchsorted(at[order], np.arange(len(names)))
+    graph = pairs.sparkSession.sparkContext.broadcast((names, source, starts))
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, source, starts = graph.value
+        for b in batches:
+            terms, row = np.unique(b["term"].to_numpy(dtype=str), return_inverse=True)
+            node, other = np.searchsorted(names, terms), np.searchsorted(names, b["other"].to_numpy(dtype=str))
+            hops = np.full(len(b), -1)
+            for lo in range(0, len(terms), 64):
+                mine = np.nonzero(row // 64 == lo // 64)[0]
+                bit, seen, hop = (row[mine] - lo).astype(np.uint64), np.zeros(len(names), np.uint64), 0
+                seen[node[lo : lo + 64]] = np.uint64(1) << np.arange(len(terms[lo : lo + 64]), dtype=np.uint64)
+                while True:
+                    hit = (seen[other[mine]] >> bit & np.uint64(1)) == 1
+                    hops[mine[hit]] = hop
+                    mine, bit = mine[~hit], bit[~hit]
+                    if not len(mine):
+                        break
+                    wider = seen | np.bitwise_or.reduceat(seen[source], starts)
+                    if (wider == seen).all():
+                        break
+                    seen, hop = wider, hop + 1
+            yield b.assign(distance=hops.astype(np.int32))[hops >= 0]
+
+    dealt = pairs.select("term", "other").distinct().repartition("term").sortWithinPartitions("term")
+    return dealt.mapInPandas(walked, "term string, other string, distance int")
+
+
+def near_miss_distances(gold: DataFrame, pred: DataFrame, edges: DataFrame, max_edges: int = 1_000_000, max_hops: int = 64) -> DataFrame:
+    """report, term, distance of each false positive: fewest steps along edges in either direction to a gold term of the
+    report, however many; -1 only where no path leads to one. Gold terms outside the graph don't count. Distances are
+    measured once per distinct pair of terms, above max_edges by growing spheres instead of on a copy of the graph."""
+    both = settled(edges.select(F.col("child").alias("x"), F.col("parent").alias("y")).union(edges.select("parent", "child")).distinct())
+    known = both.select(F.col("x").alias("term")).distinct()
+    g = gold.select("report", "term").distinct().join(known, "term", "left_semi").select("report", "term")
+    wrong = settled(pred.select("report", "term").distinct().join(g, ["report", "term"], "left_anti").select("report", "term"))
+    asked = settled(wrong.join(known, "term", "left_semi").join(g.withColumnRenamed("term", "other"), "report").select("report", "term", "other"))
+    if both.count() <= 2 * max_edges:
+        best = asked.join(pair_distances(asked, both), ["term", "other"]).groupBy("report", "term").agg(F.min("distance").alias("distance"))
+    else:
+        best = sphere_distances(asked, both, max_hops)
+    return wrong.join(best, ["report", "term"], "left").na.fill(-1, ["distance"])
+
+
+def sphere_distances(left: DataFrame, both: DataFrame, max_hops: int) -> DataFrame:
+    """report, term, distance to the nearest of the others of left(report, term, other), where there is a path.
+
+    Both ends grow spheres, one table per radius over distinct terms, and meet: distance 2i - 1 is a node on sphere i of the
+    one and i - 1 of the other, 2i on sphere i of both. Terms grow only while a row of left needs them."""
+    before, last, found = None, settled(left.select("term").union(left.select("other")).distinct().select("term", F.col("term").alias("node"))), []
+    for i in range(1, max_hops // 2 + 1):
+        need = left.select("term").union(left.select("other")).distinct()
+        grown = last.join(need, "term", "left_semi").join(both, F.col("node") == F.col("x")).select("term", F.col("y").alias("node")).distinct()
+        for inner in (last, before) if before is not None else (last,):
+            grown = grown.join(inner, ["term", "node"], "left_anti")
+        before, last = last, settled(grown.select("term", "node"))
+        for d, far in ((2 * i - 1, before), (2 * i, last)):
+            asked = left.select("term", "other").distinct().join(last, "term")
+            met = asked.join(far.select(F.col("term").alias("other"), "node"), ["other", "node"], "left_semi").select("term", "other").distinct()
+            hits = settled(left.join(met, ["term", "other"], "left_semi").select("report", "term").distinct().withColumn("distance", F.lit(d)))
+            found.append(hits)
+            left = settled(left.join(hits, ["report", "term"], "left_anti").select("report", "term", "other"))
+        # A sphere without nodes ends a term's component: what it has not met, it never meets.
+        left = settled(left.join(last.select("term").distinct(), "term", "left_semi").select("report", "term", "other"))
+        if left.isEmpty():
+            best = found[0]
+            for hits in found[1:]:
+                best = best.unionByName(hits)
+            return best
+    raise ValueError("some distances are above max_hops")
+
+
 def bottleneck(edges: DataFrame, scores: DataFrame, max_levels: int = 64) -> DataFrame:
     """report, term, r: the widest path to a term, max over parents of min(r(parent), score(parent)); roots have +infinity.
     A term is visited at threshold t exactly if r >= t, so one pass serves every threshold. Terms without score count 0."""

@@ -175,6 +175,18 @@ def _(spark, d):
     return g.near_misses(fx.gold(spark, d), fx.pred(spark, d), fx.edges(spark, d)).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
 
 
+_WRONG = "SELECT p.report, p.term FROM pred p ANTI JOIN (SELECT report, term FROM gold SEMI JOIN nodes USING (term)) g ON g.report = p.report AND g.term = p.term"
+#: Distances from every false positive's term to all that it reaches, without a bound on the hops.
+_DIST = {"dist(a, node, hops) USING KEY (a, node)": "SELECT DISTINCT term, term, 0 FROM wrong SEMI JOIN nodes USING (term) UNION SELECT d.a, nb.y, min(d.hops + 1) FROM dist d JOIN nb ON nb.x = d.node LEFT JOIN recurring.dist r ON r.a = d.a AND r.node = nb.y WHERE r.a IS NULL GROUP BY d.a, nb.y"}
+
+
+@query("near_miss_hist_full", "distance:i n:i",
+       sql("SELECT distance, count(*) AS n FROM (SELECT w.report, w.term, coalesce(min(t.hops), -1) AS distance FROM wrong w LEFT JOIN gold g ON g.report = w.report LEFT JOIN dist t ON t.a = w.term AND t.node = g.term GROUP BY ALL) GROUP BY distance", "gold", "pred", "nodes", nb=_NB, wrong=_WRONG, **_DIST))
+def _(spark, d):
+    """The whole histogram of distances; -1 counts those that can't be measured, and only those."""
+    return g.near_miss_distances(fx.gold(spark, d), fx.pred(spark, d), fx.edges(spark, d)).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
+
+
 _SC = "SELECT report, term, max(1 / (1 + exp(-margin))) AS score FROM calls GROUP BY ALL"
 
 

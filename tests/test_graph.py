@@ -1,5 +1,7 @@
 """The ten-node graph with known closures, depths and distances."""
 
+import pytest
+
 from grovemark.operators import graph as g
 from grovemark.operators import quality as q
 
@@ -29,6 +31,19 @@ def test_distances(spark):
     assert (near["x", "D"], near["x", "B"], near["x", "F"], near["x", "H"]) == (2, 1, 4, 3)
 
 
+@pytest.mark.parametrize("max_edges", [1_000_000, 0])
+def test_near_miss_distances(spark, max_edges):
+    e = edges(spark).union(spark.createDataFrame([("Y", "Z")], "child string, parent string"))
+    gold = pairs(spark, [("x", "C"), ("y", "F"), ("y", "Q"), ("z", "Q")])
+    pred = pairs(spark, [("x", t) for t in "CBDFHZ"] + [("y", "C"), ("y", "H"), ("y", "U"), ("z", "C"), ("w", "C")])
+    got = {(r["report"], r["term"]): r["distance"] for r in g.near_miss_distances(gold, pred, e, max_edges).collect()}
+    # By C and M's two parents H is three steps from C; Z is in another component, U and Q are in none, w has no gold.
+    assert got == {("x", "B"): 1, ("x", "D"): 2, ("x", "F"): 4, ("x", "H"): 3, ("x", "Z"): -1, ("y", "C"): 4, ("y", "H"): 5, ("y", "U"): -1, ("z", "C"): -1, ("w", "C"): -1}
+    for cut in (lambda: g.near_miss_distances(gold, pred, e, 0, max_hops=2).count(), lambda: g.nearest(gold, e, max_hops=2).count()):
+        with pytest.raises(ValueError):
+            cut()
+
+
 def test_most_specific(spark):
     out = g.most_specific(pairs(spark, [("x", "A"), ("x", "C"), ("x", "G")]), g.closure(edges(spark)))
     assert {r["term"] for r in out.collect()} == {"C", "G"}
