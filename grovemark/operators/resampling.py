@@ -5,6 +5,8 @@ Draws are arithmetic on integer ids, so every engine and every rerun draws the s
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +22,33 @@ def draw(key: Column, seed: Column) -> Column:
     return ((key % 1000003 + seed * 7919 + 11) * STEP % PRIME) * STEP % PRIME
 
 
+#: Multipliers of the mixed hash, below 2^31 so that no product passes 2^63, and the step between draws.
+MIX, SPREAD, LOW = (0x7FEB352D, 0x2C1B3C6D), 0x9E3779B1, 0xFFFFFFFF
+#: Of 2^32 hash values those below POISSON[k] weigh at most k: the cumulative Poisson(1) law.
+POISSON = [t for k in range(20) if (t := round(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)))) < 2**32]
+
+
+def mixed(rows: DataFrame, c: str) -> DataFrame:
+    """rows with the integer column c hashed to 32 bits. Unlike draw(), which is linear in key and seed, no draw is a shifted
+    copy of another. A column a step, so that none is computed twice."""
+    for shift, by in ((16, MIX[0]), (15, MIX[1])):
+        rows = rows.withColumn(c, F.col(c).bitwiseXOR(F.shiftright(c, shift))).withColumn(c, (F.col(c) * by).bitwiseAND(F.lit(LOW)))
+    return rows.withColumn(c, F.col(c).bitwiseXOR(F.shiftright(c, 16)))
+
+
+def poisson_draws(units: DataFrame, n: int = 10_000) -> DataFrame:
+    """draw, f1: micro-F1 of n resamples of per-report counts, each report weighed by a Poisson(1) number of the hash of
+    (report, draw), the resampling with replacement of a cohort whose size varies too. Every engine draws the same."""
+    own = mixed(units.select(F.col("report").cast("long").bitwiseAND(F.lit(LOW)).alias("h"), "tp", (2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("den")), "h")
+    drawn = own.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    h = mixed(drawn.withColumn("h", (F.col("h") + F.col("draw") * F.lit(SPREAD)).bitwiseAND(F.lit(LOW))), "h")
+    w = F.when(F.col("h") < POISSON[0], 0)
+    for k, t in enumerate(POISSON[1:], 1):
+        w = w.when(F.col("h") < t, k)
+    weighed = h.withColumn("w", w.otherwise(len(POISSON)))
+    return weighed.groupBy("draw").agg(ratio(2 * F.sum(F.col("tp") * F.col("w")), F.sum(F.col("den") * F.col("w"))).alias("f1"))
+
+
 def stratified_folds(reports: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """report, stratum, fold: within a stratum in shuffled order dealt round, each stratum starting where the last ended."""
     order = Window.partitionBy("stratum").orderBy("h", "report")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from grovemark.operators import curation, pooling, retrieval, text
+from grovemark.operators import resampling as rs
 from grovemark.operators.quality import flat_units, ratio
 from grovemark.plans import fixtures as fx
 from grovemark.plans.fixtures import div, sql
@@ -107,3 +108,22 @@ def _(spark, d):
     w = (F.col("report") * 7919 + F.col("draw") * 104729 + F.col("report") * F.col("draw") % 31) % 3
     f1 = u.groupBy("draw").agg(ratio(2 * F.sum(F.col("tp") * w), F.sum((2 * F.col("tp") + F.col("fp") + F.col("fn")) * w)).alias("f1"))
     return f1.agg(F.percentile("f1", F.lit(0.025)).alias("low"), F.percentile("f1", F.lit(0.975)).alias("high"))
+
+
+def _mixed(c: str, rows: str, keep: str) -> str:
+    for shift, by in ((16, rs.MIX[0]), (15, rs.MIX[1])):
+        rows = f"(SELECT {keep}, (xor({c}, {c} >> {shift}) * {by}) & {rs.LOW} AS {c} FROM {rows})"
+    return f"SELECT {keep}, xor({c}, {c} >> 16) AS {c} FROM {rows}"
+
+
+_OWN = _mixed("h", f"(SELECT CAST(report AS BIGINT) & {rs.LOW} AS h, CAST(tp AS BIGINT) AS tp, CAST(2 * tp + fp + fn AS BIGINT) AS den FROM units)", "tp, den")
+_HASH = _mixed("h", f"(SELECT tp, den, draw, (h + draw * {rs.SPREAD}) & {rs.LOW} AS h FROM own CROSS JOIN range(10000) r(draw))", "tp, den, draw")
+_POIS = "CASE " + " ".join(f"WHEN h < {t} THEN {k}" for k, t in enumerate(rs.POISSON)) + f" ELSE {len(rs.POISSON)} END"
+
+
+@query("bootstrap_ci_poisson", "low:d high:d",
+       sql(f"SELECT quantile_cont(f1, 0.025) AS low, quantile_cont(f1, 0.975) AS high FROM (SELECT draw, {div('2 * sum(tp * w)', 'sum(den * w)')} AS f1 FROM (SELECT tp, den, draw, {_POIS} AS w FROM hs) GROUP BY draw)", "units", own=_OWN, hs=_HASH))
+def _(spark, d):
+    """Percentile interval of micro-F1 over the reference's 10,000 resamples of reports."""
+    f1 = rs.poisson_draws(flat_units(fx.gold(spark, d), fx.pred(spark, d)))
+    return f1.agg(F.percentile("f1", F.lit(0.025)).alias("low"), F.percentile("f1", F.lit(0.975)).alias("high"))
