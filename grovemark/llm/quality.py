@@ -5,12 +5,12 @@ and moved by four, run over learned byte vectors; each filter's largest response
 features are the mean and the maximum of these over its chunks, and a logistic layer combines them into one probability.
 
 The network is fitted on the driver to a bounded sample of labelled rows: at most ``rows`` of each label in hash order, and
-as many of them as hold ``chars`` characters together. The labels' true proportions are restored by weights. Scoring is one
+as many of them as hold half of ``chars`` characters by label. The labels' true proportions are restored by weights. Scoring is one
 pass over the table; a batch holds at most 256 rows and is convolved 64 chunks at a time.
 
 Defined cases: a null text scores as an empty one, which is one chunk of padding; repeated rows are scored each; labels that
 are null or neither 0 nor 1 are not learned from; without labels of both kinds every score is the share of label 1, or 0.5
-without any; a null id is not held out and never learned from; an empty table gives an empty result.
+without any; where every sampled text of a label is above its share of characters, fitting raises; a null id is not held out and never learned from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -152,11 +152,17 @@ def fit_to_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         drawn = part if drawn is None else drawn.unionByName(part)
     # At most 2 * rows ids.
     met = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t")).join(F.broadcast(drawn), "__id")
-    narrow = met.withColumn("__n", F.length("__t")).orderBy(F.xxhash64("__id"), "__id", "__n").limit(2 * rows)
-    kept = narrow.withColumn("__upto", F.sum("__n").over(Window.orderBy(F.xxhash64("__id"), "__id", "__n").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("__upto") <= chars)
-    sample = [(r["__t"].encode("utf-8", "replace"), r["__y"]) for r in kept.select("__t", "__y", "__id").collect()]
+    order = [F.xxhash64("__id"), F.col("__id"), F.col("__n")]
+    narrow = met.withColumn("__n", F.length("__t")).orderBy(*order).limit(2 * rows)
+    # Each label has half the characters; its long texts come last, and one above its share is left out alone.
+    share = chars // 2
+    upto = F.sum("__n").over(Window.partitionBy("__y").orderBy(F.col("__n") > share // 2, *order).rowsBetween(Window.unboundedPreceding, 0))
+    kept = narrow.where(F.col("__n") <= share).withColumn("__upto", upto).where(F.col("__upto") <= share)
+    sample = [(r["__t"].encode("utf-8", "replace"), r["__y"]) for r in kept.orderBy(*order).select("__t", "__y", "__id").collect()]
     found = {y: sum(k == y for _, k in sample) for y in (0, 1)}
     if not all(found.values()):
+        if narrow.select("__y").distinct().count() == 2:
+            raise ValueError(f"every sampled text of a label has over {share} characters")
         return counts[1] / (counts[0] + counts[1])
     return fit([t for t, _ in sample], [y for _, y in sample], [counts[y] / found[y] for _, y in sample])
 

@@ -118,6 +118,17 @@ def test_quality(spark):
     assert all(bytes(parts[k, : quality.STEP].astype(np.uint8)) == (bytes(range(256)) * 9)[k * quality.STEP : (k + 1) * quality.STEP] for k in range(len(parts) - 1))
 
 
+def test_quality_long_text(spark):
+    good, bad = "The of and in to a was for that. ", "BUY!! NOW!! FREE!! "
+    df = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    first = labels.where(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    long = df.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", F.lit(1000))).otherwise(F.col("text")))
+    assert isinstance(quality.fit_to_labels(long, labels, chars=8000), quality.ByteNet)
+    with pytest.raises(ValueError):
+        quality.fit_to_labels(long, labels, chars=40)
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
