@@ -7,7 +7,8 @@ Documents are tokenised, then handled in blocks of a bounded number of tokens:
   windows first, and its rest is routed;
 * each tier packs by best fit, longest pieces first; the gaps of the longest windows are filled from shorter tiers;
 * a gap that nothing fits is filled with the start of a waiting piece, whose rest waits on, so windows leave full;
-* what is left at a task's end leaves in full windows of ever shorter tiers, and at most one padded sequence.
+* what is left at a task's end leaves in full windows of ever shorter tiers, and then of ever smaller powers of two, so
+  that no sequence is padded (with tiers that are not powers of two the last one is, to the smallest tier).
 
 Full windows of a tier are collected into step groups of equal token counts.
 
@@ -23,26 +24,29 @@ from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemark.llm.common import small_batches, table
+from grovemark.llm.common import table
 
 TIERS = (512, 1024, 2048, 4096)
 END = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Tokens that are packed together, tokens of a step group, words whose ids a task remembers.
-BLOCK_TOKENS, STEP_TOKENS, WORDS_KEPT = 1_000_000, 32_768, 800_000
+#: Tokens that are packed together, tokens of a step group, chunks whose ids a worker remembers, bytes tokenised together.
+BLOCK_TOKENS, STEP_TOKENS, WORDS_KEPT, SLICE = 1_000_000, 32_768, 2_000_000, 1 << 23
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 class WordTokens:
-    """Ids by a tokenizer that drops blanks and never joins across them, as little-endian unsigned 32-bit integers.
+    """Ids by a tokenizer that drops blanks and never joins across them, as unsigned 32-bit integers.
 
-    Blank-separated chunks are remembered; a chunk that is letters and then punctuation is put together from its parts. What
-    is not remembered yet is tokenised in one call and taken apart at the tokens that end a word.
+    A chunk is what stands from one blank-separated beginning to the next. The chunks of a slice of text are told apart and
+    counted in Arrow; each distinct one is looked up once, and all ids are then gathered by numpy. Chunks that are not yet
+    known are tokenised in one call and cut at the tokens that end a word, where their number of words is certain.
     """
 
     def __init__(self, path: str | None = None, keep: int = WORDS_KEPT) -> None:
@@ -53,56 +57,104 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
-        self.chunk: dict[str, bytes] = {"": b""}
-        self.word: dict[str, bytes] = {}
-
-    def encoded(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that are letters only: each is one unit, which ends with the first token that ends a word."""
-        found: dict[str, bytes] = {}
-        for lo in range(0, len(words), 2000):
-            part, ids, k, run = words[lo : lo + 2000], self.tokenizer.encode(" ".join(words[lo : lo + 2000]), add_special_tokens=False).ids, 0, array("I")
-            cut = []
-            for i in ids:
-                run.append(i)
-                if i in self.ends:
-                    cut.append(run.tobytes())
-                    run = array("I")
-            if len(cut) == len(part) and not run:
-                found.update(zip(part, cut, strict=True))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # The known chunks in order of their numbers, all their ids, and where each chunk's begin.
+        self.known, self.flat, self.at = pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def learn(self, chunks: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """An order of the chunks, all their ids in that order, and how many each has."""
+        texts = b"\0".join(chunks).decode("utf-8", "replace").split("\0")
+        if len(texts) != len(chunks):
+            texts = [c.decode("utf-8", "replace") for c in chunks]
+        words = [certain_words(t) for t in texts]
+        order, ids, counts = [], [], []
+
+        def one_by_one(part: list[int]) -> None:
+            for k in part:
+                order.append(k)
+                ids.append(self.encoded(texts[k]))
+                counts.append(np.array([len(ids[-1])]))
+
+        sure = [k for k, w in enumerate(words) if w]
+        for lo in range(0, len(sure), 2000):
+            part = sure[lo : lo + 2000]
+            got = self.encoded(" ".join([texts[k] for k in part]))
+            last = np.cumsum([words[k] for k in part]) - 1
+            ends = np.nonzero(self.ends[got])[0]
+            if len(ends) == last[-1] + 1 and ends[-1] == len(got) - 1:
+                order += part
+                ids.append(got)
+                counts.append(np.diff(ends[last], prepend=-1))
             else:
-                found.update((w, self.encoded(w)) for w in part)
-        return found
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(_BLANKS).split(" ") for t in texts]
-        new = set().union(*split).difference(self.chunk)
-        made, parts, lacking = {}, {}, set()
-        for c in new:
-            core = c.rstrip(string.punctuation)
-            low = core.lower()
-            if core and low.isalpha() and core.isalpha() and "Σ" not in core:
-                parts[c] = low, c[len(core) :]
-                if low not in self.word:
-                    lacking.add(low)
-            else:
-                made[c] = self.encoded(c)
-        fresh = self.learn(sorted(lacking))
-        for c, (low, tail) in parts.items():
-            if tail and tail not in self.chunk:
-                self.chunk[tail] = self.encoded(tail)
-            made[c] = (fresh.get(low) or self.word.get(low) or self.encoded(low)) + (self.chunk[tail] if tail else b"")
-        known = self.chunk
-        out = []
-        for s in split:
-            out.append(b"".join([known[c] if c in known else made[c] for c in s]))
-        for kept, more in ((self.word, fresh), (self.chunk, made)):
-            if len(kept) + len(more) <= self.keep:
-                kept.update(more)
-        return out
+                one_by_one(part)
+        one_by_one([k for k, w in enumerate(words) if not w])
+        return order, np.concatenate(ids), np.concatenate(counts)
+
+    def slice(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """data: bytes of whole texts, or of a part of one that ends before a chunk; starts: where its texts begin. All ids,
+        and how many precede each start."""
+        data = _TO_BLANK[data]
+        blank = data == 32
+        first = np.zeros(len(data), bool)
+        first[1:] = blank[:-1] & ~blank[1:]
+        first[starts[starts < len(data)]] = True
+        at = np.nonzero(first)[0]
+        chunks = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        numbers = pc.fill_null(pc.index_in(chunks.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
+        flat, begins, n = self.flat, self.at, len(self.known)
+        lacking = np.nonzero(numbers < 0)[0]
+        if len(lacking):
+            new = chunks.dictionary.take(pa.array(lacking))
+            order, ids, counts = self.learn(new.to_pylist())
+            numbers[lacking[order]] = np.arange(n, n + len(lacking))
+            flat, begins = np.concatenate([flat, ids]), np.concatenate([begins, begins[-1] + np.cumsum(counts)])
+            if n + len(lacking) <= self.keep:
+                self.known, self.flat, self.at = pa.concat_arrays([self.known, new.take(pa.array(order))]), flat, begins
+        number = numbers[chunks.indices.to_numpy()]
+        counts = begins[number + 1] - begins[number]
+        before = np.concatenate([[0], np.cumsum(counts)])
+        out = flat[np.repeat(begins[number] - before[:-1], counts) + np.arange(before[-1])]
+        return out, before[np.searchsorted(at, starts)]
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Of each text its ids as little-endian unsigned 32-bit integers."""
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        out: list[list[bytes]] = [[] for _ in range(len(texts))]
+        lo, end = int(offsets[0]), int(offsets[-1])
+        while lo < end:
+            hi = min(end, lo + SLICE)
+            if hi < end and hi not in offsets:
+                # A slice ends with a blank; where it holds none, with the next one.
+                inner = np.nonzero(_TO_BLANK[data[lo:hi]] == 32)[0]
+                if len(inner):
+                    hi = lo + int(inner[-1]) + 1
+                else:
+                    hi += next((k + 1 for k in range(end - hi) if _TO_BLANK[data[hi + k]] == 32 or hi + k + 1 in offsets), end - hi)
+            k0, k1 = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi, "left"))
+            got, before = self.slice(data[lo:hi], np.maximum(offsets[k0:k1], lo) - lo)
+            cuts = np.append(before, len(got))
+            for k in range(k0, k1):
+                out[k].append(got[cuts[k - k0] : cuts[k - k0 + 1]].tobytes())
+            lo = hi
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+
+def certain_words(text: str) -> int:
+    """How many words (tokens that end one) a chunk has, where that is certain: letters, then perhaps ASCII punctuation. Else 0."""
+    text = text.rstrip(" ")
+    if text.isascii():
+        return 1 if text.isalpha() else 2 if text.rstrip(string.punctuation).isalpha() else 0
+    core = text.rstrip(string.punctuation)
+    if core.isalpha() and "Σ" not in core and core.lower().isalpha():
+        return 1 if len(core) == len(text) else 2
+    return 0
 
 
 #: Of this Python worker: what one task has learned serves the next. It changes no result.
@@ -115,11 +167,15 @@ def word_tokens(path: str | None) -> WordTokens:
     return _LEARNED[path]
 
 
-_BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
+_TO_BLANK = np.arange(256, dtype=np.uint8)
+_TO_BLANK[9:14] = 32
+
+
+_OUT = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.int64()) for c in OUT.split(", ")])
 
 
 class Packer:
-    """Packs (document, start, length) pieces; emits sequences that are full but for the last of finish()."""
+    """Packs (document, start, length) pieces; emits sequences that are full."""
 
     def __init__(self, tiers: tuple[int, ...] = TIERS) -> None:
         self.tiers = tiers
@@ -158,13 +214,15 @@ class Packer:
         return out
 
     def finish(self) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """What is left, in windows of the tiers and then of ever smaller powers of two: all of them are full."""
         left = sum(w[0] for w in self.waiting)
-        for tier in reversed(self.tiers):
+        small = [1 << k for k in reversed(range(self.tiers[0].bit_length() - 1))] if self.tiers[0] & (self.tiers[0] - 1) == 0 else []
+        for tier in [*reversed(self.tiers), *small]:
             while left >= tier:
                 yield tier, self.window(tier)
                 left -= tier
         if self.waiting:
-            yield self.tiers[-1], [(doc, start, length) for length, start, doc in self.waiting]
+            yield self.tiers[0], [(doc, start, length) for length, start, doc in self.waiting]
             self.waiting = []
 
 
@@ -195,45 +253,44 @@ class Steps:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """One row per piece, see OUT. tier: the sequence's context size; step_group: the sequences of one step."""
-    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         words, packer, steps = word_tokens(tokenizer), Packer(tiers), Steps(task)
         end, held, sequence, number = array("I", [END]).tobytes(), {}, task << 32, 0
 
-        def rows(made: Iterator[tuple[int, list[tuple[int, int, int]]]]) -> pd.DataFrame:
+        def rows(made: Iterator[tuple[int, list[tuple[int, int, int]]]]) -> pa.RecordBatch:
             nonlocal sequence
             out, gone = [], set()
             for tier, pieces in made:
                 group, offset = steps.group(tier), 0
                 for doc, start, length in pieces:
                     name, ids = held[doc]
-                    out.append((name, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, sequence, offset, tier, group))
+                    out.append((name, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4, sequence, offset, tier, group))
                     offset += length
                     gone.add(doc)
                 sequence += 1
             for doc in gone.difference(w[2] for w in packer.waiting):
                 del held[doc]
-            columns = [c.split()[0] for c in OUT.split(", ")]
-            return pd.DataFrame({c: pd.array([r[k] for r in out], dtype="Int64") for k, c in enumerate(columns)})
+            columns = list(zip(*out, strict=True)) if out else [()] * len(_OUT)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
 
         block, tokens = [], 0
         for b in batches:
-            for name, ids in zip(b["doc_id"], words.ids(b["text"].tolist()), strict=True):
+            for name, ids in zip(b.column(0).to_pylist(), words.ids(b.column(1)), strict=True):
                 ids += end
-                held[number] = (None if pd.isna(name) else int(name)), ids
+                held[number] = name, ids
                 block.append((number, 0, len(ids) // 4))
                 number += 1
                 tokens += len(ids) // 4
-            if tokens >= BLOCK_TOKENS:
-                yield rows(packer.block(block))
-                block, tokens = [], 0
+                if tokens >= BLOCK_TOKENS:
+                    yield rows(packer.block(block))
+                    block, tokens = [], 0
         yield rows(packer.block(block))
         yield rows(packer.finish())
 
-    return narrow.mapInPandas(packed, OUT)
+    return narrow.mapInArrow(packed, OUT)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

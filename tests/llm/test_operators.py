@@ -151,10 +151,26 @@ def test_packing(docs):
         for r in sorted(rows, key=lambda r: r["offset"]):
             assert r["offset"] == at
             at += r["length"]
-        assert at <= 4096
+        assert at in packing.TIERS or (at < 512 and at & (at - 1) == 0)  # nothing is padded
+    steps = defaultdict(set)
+    for r in out:
+        steps[r["step_group"]].add((r["tier"], r["sequence_id"]))
+    assert all(len({t for t, _ in g}) == 1 and len(g) <= max(1, packing.STEP_TOKENS // next(iter(g))[0]) for g in steps.values())
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_words():
+    import pyarrow as pa
+
+    words = packing.WordTokens(keep=4)
+    odd = [*[t or "" for t in TEXTS], "  ", "a\tb\n", "ΣΑΣ ΟΔΟΣ. σς", "İstanbul ß ﬁ", "don't. 'tis rock'n'roll", "日本語 テスト。한국어", "é ́a á", "a<|startoftext|>b", "12345 3.14 $5", "a\0b \0"]
+    for size in (1 << 23, 64, 5):
+        packing.SLICE, held = size, packing.SLICE
+        got = words.ids(pa.array(odd))
+        packing.SLICE = held
+        assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 def test_secrets(docs):
     for r in secrets.scan(docs).collect():
         if r["doc_id"] not in (100, None):
