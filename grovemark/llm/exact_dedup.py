@@ -4,8 +4,8 @@ Texts are equal when they agree after lower-casing A-Z. Three levels, each a sca
 documents of a repeated length a hash of the text's beginning, and for documents that share both a SHA-256 of the whole
 text. Only those survivors' texts are hashed in full. Of a group the row with the largest id stays.
 
-The surviving keys are broadcast while they are few (their count is taken and checked); beyond that every text is hashed in
-the scan and the narrow rows are joined, so no text is shuffled to find the groups. Groups are counted by partial
+The surviving keys go into a Bloom filter of bounded size that the scan probes, so at every size the full hash is computed
+for the survivors and a few others only, and no text is shuffled to find the groups. Groups are counted by partial
 aggregation and met with their rows again by broadcast while they are few; beyond that only the groups of over HOT rows are
 (there can be at most rows / HOT of them) and the rest, of bounded size, by a join. So no group lands in one task whole.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemark.llm.common import ascii_lower, drop_rows, stored, table
+from grovemark.llm.common import MOST_BITS, Bloom, ascii_lower, drop_rows, stored, table, with_groups
 
 #: Characters of the second level's hash.
 PREFIX = 256
@@ -32,8 +32,8 @@ def normal(text_col: str) -> Column:
     return ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, max_keys: int = MAX_KEYS) -> DataFrame:
-    """doc_id, hit, hash. hit: the document survives the first two levels; hash: its SHA-256, null for the rest unless
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, max_keys: int = MAX_KEYS, most_bits: int = MOST_BITS) -> DataFrame:
+    """doc_id, hit, hash. hit: the document survives the first two levels, or the filter can't tell; hash: its SHA-256, null for the rest unless
     digest_all asks for it too."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # Lower-casing A-Z keeps the length; a level lower-cases only what it hashes.
@@ -45,37 +45,20 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     begun = long.withColumn("prefix", F.xxhash64(ascii_lower(F.substring("text", 1, PREFIX))))
     # Level 2, over narrow rows.
     keys = begun.select("len", "prefix").join(lengths, "len", "left_semi").groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keys = stored(keys.select("len", "prefix", F.lit(True).alias("hit")), "dedup-keys")
-    full, hit = F.sha2(ascii_lower(F.col("text")), 256), F.coalesce("hit", F.lit(False))
-    # Level 3.
-    if keys.count() <= max_keys:
-        met = begun.join(F.broadcast(keys), ["len", "prefix"], "left").withColumn("hit", hit)
-        return met.select("doc_id", "hit", F.when(F.col("hit") | F.lit(digest_all), full).alias("hash"))
-    hashed = stored(begun.select("doc_id", "len", "prefix", full.alias("hash")), "dedup-hashed")
-    met = hashed.join(keys, ["len", "prefix"], "left").withColumn("hit", hit)
-    return met.select("doc_id", "hit", F.when(F.col("hit") | F.lit(digest_all), F.col("hash")).alias("hash"))
-
-
-def with_groups(held: DataFrame, groups: DataFrame, max_keys: int = MAX_KEYS, hot: int = HOT) -> DataFrame:
-    """held joined to groups(hash, keep_id, group_size) by hash, without gathering a large group in one task."""
-    groups = stored(groups, "dedup-groups")
-    if groups.count() <= max_keys:
-        return held.join(F.broadcast(groups), "hash")
-    # At most rows / hot groups are hot: few at any size.
-    large = groups.where(F.col("group_size") > hot)
-    marked = held.join(F.broadcast(large), "hash", "left")
-    rest = marked.where("group_size is null").drop("keep_id", "group_size").join(groups.where(F.col("group_size") <= hot), "hash")
-    return marked.where("group_size is not null").unionByName(rest)
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, max_keys: int = MAX_KEYS, hot: int = HOT) -> DataFrame:
+    keys = stored(keys.select("len", "prefix"), "dedup-keys")
+    # Level 3: a filter of bounded size lets pass all that share both, and few others, whose hash is then met by no other.
+    met = Bloom(keys.select(F.xxhash64("len", "prefix").alias("h")), most_bits).marked(begun, F.xxhash64("len", "prefix"), "hit")
+    return met.select("doc_id", "hit", F.when(F.col("hit") | F.lit(digest_all), F.sha2(ascii_lower(F.col("text")), 256)).alias("hash"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, max_keys: int = MAX_KEYS, hot: int = HOT, most_bits: int = MOST_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, hash (as in signatures())."""
-    rows = stored(signatures(docs, id_col, text_col, digest_all, max_keys), "dedup-rows")
+    rows = stored(signatures(docs, id_col, text_col, digest_all, max_keys, most_bits), "dedup-rows")
     hits = rows.where("hit")
     # Repeated (id, hash) rows travel as one with a count.
     held = hits.groupBy("hash", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     groups = hits.groupBy("hash").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    found = with_groups(held, groups, max_keys, hot).withColumn("i", F.explode(F.expr("sequence(1L, n)")))
+    found = with_groups(held, groups, "hash", "group_size", max_keys, hot).withColumn("i", F.explode(F.expr("sequence(1L, n)")))
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)
     found = found.select("doc_id", "keep_id", "group_size", first.alias("kept"), "hash")
     alone = rows.where("not hit").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "hash")
@@ -86,7 +69,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The documents without the copies, with all their columns."""
     hits = stored(signatures(docs, id_col, text_col, max_keys=max_keys), "dedup-rows").where("hit")
     groups = hits.groupBy("hash").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    held = with_groups(hits.groupBy("hash", "doc_id").agg(F.count(F.lit(1)).alias("n")), groups, max_keys, hot)
+    held = with_groups(hits.groupBy("hash", "doc_id").agg(F.count(F.lit(1)).alias("n")), groups, "hash", "group_size", max_keys, hot)
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # What goes; tied: rows that repeat with the id that stays, of which one does.
     goes = held.select(F.col("doc_id").alias("id"), F.col("hash").alias("key"), same.alias("tied"), "n").where("not tied or n > 1")

@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grovemark.llm.common import drop_rows, dropped, small_batches, stored, table
+from grovemark.llm.common import drop_rows, dropped, small_batches, stored, table, with_groups
 
 SEED, WIDTH, RADIUS = 42, 3, 2
 #: Fingerprints of one block value that are searched together; rows of a group of cells; members of an index node.
 HOT, GROUP, FAN = 1024, 1024, 8
+#: Rows of one fingerprint that a task may take in a join.
+HOT_ROWS = 100_000
 ALL = (1 << 64) - 1
 
 
@@ -157,7 +159,11 @@ def cells(codes: DataFrame, radius: int, hot: int = HOT, rounds: int = 3) -> Dat
         step = [(signed(m), [signed(m | p) for p in parts_of(m, blocks)]) for m in masks]
         # blocks ** k masks: a fixed table.
         finer = F.broadcast(spark.createDataFrame(step, T.StructType([T.StructField("mask", T.LongType()), T.StructField("finer", T.ArrayType(T.LongType()))])))
-        dealt = rest.join(finer, "mask").select("code", F.explode("finer").alias("mask")).withColumn("value", F.col("code").bitwiseAND(F.col("mask")))
+        if k == 0:
+            dealt = rest.select("code", F.explode(F.array(*map(F.lit, step[0][1]))).alias("mask"))
+        else:
+            dealt = rest.join(finer, "mask").select("code", F.explode("finer").alias("mask"))
+        dealt = dealt.withColumn("value", F.col("code").bitwiseAND(F.col("mask")))
         dealt = stored(dealt, "cells")
         counts = dealt.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = stored(dealt.join(counts, ["mask", "value"]), "cells")
@@ -204,23 +210,23 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"the components have not settled after {most} rounds")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, max_ids: int = 1_000_000) -> DataFrame:
     """doc_id, code, t, component_id, first (of the component by id, then t): one row per document."""
     rows = stored(fingerprints(docs, id_col, text_col, width), "codes")
     me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
-    distinct = stored(rows.groupBy("code").agg(F.min(me).alias("least")), "codes")
+    distinct = stored(rows.groupBy("code").agg(F.min(me).alias("least"), F.count(F.lit(1)).alias("rows")), "codes")
     joined = components(links(distinct.select("code"), radius))
-    placed = distinct.join(joined, F.col("code") == F.col("node"), "left").select("code", "least", F.coalesce("root", "code").alias("root"))
+    placed = distinct.join(joined, F.col("code") == F.col("node"), "left").select("code", "least", "rows", F.coalesce("root", "code").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("least"))
-    of_code = placed.drop("least").join(least, "root").select("code", "least")
+    of_code = placed.drop("least").join(least, "root").select("code", "least", "rows")
     first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t") == F.col("least.t"))
-    return rows.join(of_code, "code").select("doc_id", "code", "t", F.col("least.doc_id").alias("component_id"), first.alias("first"))
+    return with_groups(rows, of_code, "code", "rows", max_ids, HOT_ROWS).select("doc_id", "code", "t", F.col("least.doc_id").alias("component_id"), first.alias("first"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, max_ids: int = 1_000_000) -> DataFrame:
     """One document of each group, that with the least id, with all its columns; of rows that repeat with the same id and
     text one."""
-    rows = near_groups(docs, id_col, text_col, width, radius).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("tied"))
+    rows = near_groups(docs, id_col, text_col, width, radius, max_ids).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("tied"))
     goes = rows.where("not tied or n > 1").select(F.col("doc_id").alias("id"), F.col("t").alias("key"), "tied")
     return drop_rows(docs, goes, id_col, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), max_ids)
 

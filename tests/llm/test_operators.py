@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from array import array
@@ -75,9 +76,9 @@ def test_chats(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("max_keys", "hot"), [(1_000_000, 100_000), (0, 100_000), (0, 3)])
-def test_exact_copies(docs, max_keys, hot):
-    out = exact_dedup.exact_groups(docs, max_keys=max_keys, hot=hot).collect()
+@pytest.mark.parametrize(("max_keys", "hot", "bits"), [(1_000_000, 100_000, 1 << 30), (0, 100_000, 1 << 15), (0, 3, 1 << 30)])
+def test_exact_copies(docs, max_keys, hot, bits):
+    out = exact_dedup.exact_groups(docs, max_keys=max_keys, hot=hot, most_bits=bits).collect()
     texts = defaultdict(list)
     for r in docs.collect():
         texts[lower(r["text"])].append(r["doc_id"])
@@ -86,7 +87,19 @@ def test_exact_copies(docs, max_keys, hot):
     assert sum(r["kept"] for r in out) == len(texts)
     left = exact_dedup.drop_exact_copies(docs, max_keys=max_keys, hot=hot)
     assert left.columns == docs.columns and left.count() == len(texts) and left.select(F.lower("text")).where("lower(text) = 'a b c'").count() == 1
-    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0 and exact_dedup.drop_exact_copies(docs.limit(0)).count() == 0
+
+
+def test_only_survivors_are_hashed(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.md5(F.col("id").cast("string")), F.repeat(F.lit("x"), 300)).alias("text"))
+    met = exact_dedup.signatures(rows.unionByName(rows.where("doc_id < 10").withColumn("doc_id", F.col("doc_id") + 9000))).where("hit").count()
+    assert 20 <= met < 200
+
+
+@pytest.mark.parametrize("max_ids", [1_000_000, 0])
+def test_null_ids(spark, max_ids):
+    rows = spark.range(40000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 20000).cast("string")).alias("text"))
+    assert exact_dedup.drop_exact_copies(rows, max_keys=max_ids).count() == 20000
 
 
 def test_shards(spark, docs):
@@ -216,16 +229,57 @@ def test_simhash_docs(docs):
     assert simhash.fingerprint("A b\tC  d") == sum(1 << i for i in range(64) if 2 * ones[i] > 2)
 
 
+def brute_top(rows, k=20, ask=lambda i: i % 20 == 0):
+    whole = [(i, [math.floor(64 * c) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
+    asked = {}
+    for i, v in whole:
+        if ask(i):
+            asked[i] = min(asked.get(i, v), v)
+    out = {}
+    for i, v in asked.items():
+        scores = [(sum(a * b for a, b in zip(v, x, strict=True)), j) for j, x in whole if j != i and len(x) == len(v)]
+        if scores:
+            out[i] = [(j, s) for s, j in sorted(scores, key=lambda p: (-p[0], p[1]))[:k]]
+    return out
+
+
+def spark_top(spark, rows, portion=8, read=None):
+    v = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = defaultdict(list)
+    for r in topk.top_k(v, v.where("vec_id % 20 = 0"), 20, portion, read).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    return dict(got)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(400)]
-    rows += [(400, rows[20][1]), (401, rows[20][1]), (402, None), (403, [1.0, None] + [0.0] * 6), (404, [float("nan")] * 8), (405, [1.0])]
+    rows += [(400, rows[20][1]), (401, rows[20][1]), (402, None), (403, [1.0, None] + [0.0] * 6), (404, [float("nan")] * 8), (405, [1.0]), (None, [1.0] * 8), (20, [0.5] * 8), (7, rows[7][1])]
+    rows += [(10_000 + i, [0.25] * 8) for i in range(300)]  # ties far beyond k
+    assert spark_top(spark, rows) == brute_top(rows)
+    assert spark_top(spark, [(0, None), (20, None)]) == {}
     v = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    whole = {i: [int(np.floor(64 * c)) for c in x] for i, x in rows if x and len(x) == 8 and all(c is not None and np.isfinite(c) for c in x)}
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_topk_large_components(spark):
+    rng = np.random.default_rng(4)
+    for scale in (1e4, 4e6):  # integer scores beyond 2^24 and 2^53
+        rows = [(i, [float(x) for x in rng.normal(0, scale, 6)]) for i in range(200)] + [(1000, [scale] * 6), (1001, [1e-300] * 6)]
+        assert spark_top(spark, rows, 64) == brute_top(rows)
+    with pytest.raises(Exception, match="64 bits|OverflowError"):
+        spark_top(spark, [(0, [1e9, 1e9]), (1, [1e9, 1e9])])
+
+
+def test_topk_reads_few(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(0, 40, (20, 16))
+    rows = [(i, [float(x) for x in centre[i % 20] + rng.normal(0, 4, 16)]) for i in range(4000)]
+    v = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    read = []
     got = defaultdict(list)
-    for r in topk.top_k(v, v.where("vec_id % 20 = 0"), 20, portion=8).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(v, v.where("vec_id % 500 = 0"), 20, 4, read).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    for i in [i for i in whole if i % 20 == 0]:
-        want = sorted(((j, int(np.dot(whole[i], x))) for j, x in whole.items() if j != i), key=lambda p: (-p[1], p[0]))[:20]
-        assert got[i] == want
-    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    assert dict(got) == brute_top(rows, ask=lambda i: i % 500 == 0)
+    assert sum(read) < 0.1 * 2 * 4000
