@@ -232,15 +232,65 @@ def sphere_distances(left: DataFrame, both: DataFrame, max_hops: int) -> DataFra
     raise ValueError("some distances are above max_hops")
 
 
-def bottleneck(edges: DataFrame, scores: DataFrame, max_levels: int = 64) -> DataFrame:
+class Levels:
+    """A term graph as numbers, level by level of the longest depths: for each level its nodes and the edges that enter it,
+    sorted by child. It travels to the tasks, 16 bytes an edge, and is built only below a bound that the caller checks."""
+
+    def __init__(self, edges: DataFrame, max_levels: int) -> None:
+        pairs, depth = edges.select("child", "parent").distinct().toPandas(), longest_depths(edges, max_levels).toPandas().sort_values("term")
+        self.terms = depth["term"].to_numpy(dtype=str)
+        self.depth = depth["depth"].to_numpy()
+        child, parent = np.searchsorted(self.terms, pairs["child"].to_numpy(dtype=str)), np.searchsorted(self.terms, pairs["parent"].to_numpy(dtype=str))
+        self.steps = []
+        for level in range(2, (int(self.depth.max()) if len(depth) else 1) + 1):
+            at = np.nonzero(self.depth[child] == level)[0]
+            at = at[np.argsort(child[at], kind="stable")]
+            node, first = np.unique(child[at], return_index=True)
+            self.steps.append((node, parent[at], first))
+
+    def places(self, terms: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the terms are nodes, and their numbers."""
+        names = terms.to_numpy(dtype=str)
+        at = np.minimum(np.searchsorted(self.terms, names), max(0, len(self.terms) - 1))
+        known = self.terms[at] == names if len(self.terms) else np.zeros(len(names), bool)
+        return known, at[known]
+
+
+#: Edges of a graph that may travel to every task (16 MB); a larger one is walked level by level in joins.
+MAX_EDGES = 1_000_000
+
+
+def bottleneck(edges: DataFrame, scores: DataFrame, max_levels: int = 64, max_edges: int = MAX_EDGES) -> DataFrame:
     """report, term, r: the widest path to a term, max over parents of min(r(parent), score(parent)); roots have +infinity.
-    A term is visited at threshold t exactly if r >= t, so one pass serves every threshold. Terms without score count 0."""
+    A term is visited at threshold t exactly if r >= t, so one pass serves every threshold. Terms without score count 0.
+
+    The scores of a report, at most one per term, meet in one row group; all its levels are then a few array steps."""
+    if edges.count() > max_edges:
+        return bottleneck_joins(edges, scores, max_levels)
+    graph = scores.sparkSession.sparkContext.broadcast(Levels(edges, max_levels))
+
+    def walked(part: pd.DataFrame) -> pd.DataFrame:
+        g = graph.value
+        known, at = g.places(part["term"])
+        score = np.zeros(len(g.terms))
+        np.maximum.at(score, at, part["score"].fillna(0).to_numpy(dtype=float)[known])
+        r = np.where(g.depth == 1, np.inf, 0.0)
+        for node, parent, first in g.steps:
+            r[node] = np.maximum.reduceat(np.minimum(r[parent], score[parent]), first)
+        return pd.DataFrame({"report": part["report"].iloc[0], "term": g.terms, "r": r})
+
+    kind = scores.schema["report"].dataType.simpleString()
+    return scores.select("report", "term", "score").groupBy("report").applyInPandas(walked, f"report {kind}, term string, r double")
+
+
+def bottleneck_joins(edges: DataFrame, scores: DataFrame, max_levels: int = 64) -> DataFrame:
+    """bottleneck() for a graph of any size: one join per level for all reports together."""
     reports = scores.select("report").distinct()
     levels = longest_depths(edges)
     top = reports.crossJoin(F.broadcast(levels.where("depth = 1").select("term"))).withColumn("r", F.lit(float("inf")))
-    done, depth = settled(top), 1
     last = levels.agg(F.max("depth")).first()[0] or 1
     linked = edges.join(levels, edges.child == levels.term).select("child", "parent", "depth")
+    done = settled(top)
     for depth in range(2, min(last, max_levels) + 1):
         part = linked.where(F.col("depth") == depth).select(F.col("child").alias("node"), F.col("parent").alias("term"))
         wide = done.join(part, "term").join(scores.select("report", "term", "score"), ["report", "term"], "left")

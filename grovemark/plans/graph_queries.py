@@ -117,7 +117,8 @@ def _(spark, d):
     mark = lambda rows, n: rows.select("report", "term").distinct().withColumn(n, F.lit(True))
     above = mark(g.ancestors_of(gold, closed), "above")
     parents = gold.join(edges, gold.term == edges.child).select("report", "parent").distinct()
-    siblings = mark(parents.join(edges, "parent").select("report", F.col("child").alias("term")), "sibling")
+    # Up from the false positives to parents that a gold term of the report has too; never down to all children.
+    siblings = mark(wrong.join(edges, F.col("term") == F.col("child")).join(parents, ["report", "parent"], "left_semi"), "sibling")
     tops = g.ancestors_of(gold, closed.where("ancestor like 'R%'")).withColumnRenamed("term", "top")
     mine = wrong.join(closed.where("ancestor like 'R%'"), F.col("term") == F.col("descendant")).select("report", "term", F.col("ancestor").alias("top"))
     branch = mark(mine.join(tops, ["report", "top"], "left_semi"), "branch")
