@@ -30,6 +30,8 @@ from grovemark.llm.common import stored, table
 K, SCALE = 20, 64
 #: Candidates of a block, queries of a block, queries of a portion and their bytes, cells at most.
 BLOCK, QUERIES, PORTION, PORTION_BYTES, CELLS = 4096, 256, 32_768, 1 << 25, 256
+#: Candidates of the first scan, at most about twice as many, and its tasks.
+SAMPLE, SAMPLE_TASKS = 16_384, 8
 PAIRS = "query_id long, row long, vec_id long, upper double, lower double"
 SCORES = "query_id long, vec_id long, score long"
 
@@ -85,6 +87,21 @@ class Bounds:
         # The k best lower bounds of each query: the bound, id and row.
         self.best = [np.full((len(ids), k), -np.inf), np.full((len(ids), k), 2**63 - 1), np.full((len(ids), k), 2**63 - 1)]
         self.found: list[tuple[np.ndarray, ...]] = []
+        self.floor = [np.full((len(ids), 1), -np.inf), np.full((len(ids), 1), 2**63 - 1), np.full((len(ids), 1), 2**63 - 1)]
+
+    def start_from(self, known: dict[str, np.ndarray]) -> None:
+        """The k-th of some candidates' lower bounds, by query_id: what can't reach it need not be looked at."""
+        at = {int(q): j for j, q in enumerate(known["query_id"])}
+        for i, q in enumerate(self.ids):
+            if (j := at.get(int(q))) is not None:
+                for own, c in zip(self.floor, ("least", "i", "r"), strict=True):
+                    own[i] = known[c][j]
+
+    def limit(self) -> list[np.ndarray]:
+        """Of each query the better of the two k-th places: its own and the one it started from."""
+        own = [b[:, -1:] for b in self.best]
+        lower = (self.floor[0] > own[0]) | ((self.floor[0] == own[0]) & ((self.floor[1] < own[1]) | ((self.floor[1] == own[1]) & (self.floor[2] < own[2]))))
+        return [np.where(lower, f, o) for f, o in zip(self.floor, own, strict=True)]
 
     def take(self, rows: np.ndarray, who: np.ndarray, cells: np.ndarray) -> None:
         low, high = self.low[cells], self.high[cells]
@@ -97,7 +114,7 @@ class Bounds:
             down = np.einsum("qd,qcd->qc", self.above[at], low[head]) + np.einsum("qd,qcd->qc", self.below[at], high[head])
             down = np.where(np.take_along_axis(up, head, axis=1) > -np.inf, down - self.margin, -np.inf)
             self.merge(at, down, who[head], rows[head])
-            q, c = np.nonzero(self.open(up, who[None, :], rows[None, :], [b[at, -1:] for b in self.best]) & (up > -np.inf))
+            q, c = np.nonzero(self.open(up, who[None, :], rows[None, :], [b[at] for b in self.limit()]) & (up > -np.inf))
             self.found.append((q + lo, rows[c], who[c], up[q, c]))
         if sum(len(f[0]) for f in self.found) > 4 * self.k * len(self.ids):
             self.prune()
@@ -122,7 +139,7 @@ class Bounds:
 
     def prune(self) -> None:
         q, rows, who, up = (np.concatenate(x) for x in zip(*self.found, strict=True))
-        on = self.open(up, who, rows, [b[q, -1] for b in self.best])
+        on = self.open(up, who, rows, [b[q, 0] for b in self.limit()])
         self.found = [(q[on], rows[on], who[on], up[on])]
 
     def pairs(self) -> pa.RecordBatch:
@@ -130,8 +147,8 @@ class Bounds:
             self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         self.prune()
         q, rows, who, up = self.found[0]
-        # The lower bounds travel as rows of their own.
-        n = self.best[0] > -np.inf
+        # The lower bounds travel as rows of their own, but for those that are surely not among the k best.
+        n = (self.best[0] > -np.inf) & self.open(*[self.best[j] for j in (0, 1, 2)], self.limit())
         ids = np.concatenate([self.ids[q], np.repeat(self.ids, n.sum(axis=1))])
         none = np.zeros(len(q), bool)
         lower = pa.array(np.concatenate([np.zeros(len(q)), self.best[0][n]]), mask=np.concatenate([~none, np.zeros(n.sum(), bool)]))
@@ -179,8 +196,11 @@ def portion_scores(spark: SparkSession, asked: DataFrame, exact: DataFrame, file
     by_length = {int(n): (ids[lengths == n], matrix(vectors.filter(pa.array(lengths == n)), int(n))) for n in np.unique(lengths)}
     sent = spark.sparkContext.broadcast(by_length)
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch], known=None) -> Iterator[pa.RecordBatch]:
         bounds = {n: Bounds(i, v, edges, k) for n, (i, v) in sent.value.items()}
+        if known is not None:
+            for x in bounds.values():
+                x.start_from(known.value)
         for b in batches:
             rows, who, cells = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
             sizes = np.diff(np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1])
@@ -195,11 +215,19 @@ def portion_scores(spark: SparkSession, asked: DataFrame, exact: DataFrame, file
         for x in bounds.values():
             yield x.pairs()
 
-    pairs = stored(file.mapInArrow(bounded, PAIRS), "bounds")
-    order = [F.col("lower").desc(), "vec_id", "row"]
-    kth = pairs.where("lower is not null").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("n") == k)
-    # One row per query of the portion.
-    kth = F.broadcast(kth.select("query_id", F.col("lower").alias("least"), F.col("vec_id").alias("i"), F.col("row").alias("r")))
+    def kth_lower(pairs: DataFrame) -> DataFrame:
+        """One row per query of the portion: its k-th best lower bound, with id and row."""
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("lower").desc(), "vec_id", "row"))
+        kth = pairs.where("lower is not null").withColumn("n", place).where(F.col("n") == k)
+        return kth.select("query_id", F.col("lower").alias("least"), F.col("vec_id").alias("i"), F.col("row").alias("r"))
+
+    # A first scan of a sample of bounded size: its k-th bounds let all tasks leave out most candidates from the start.
+    keep = max(1, file.count() // SAMPLE)
+    few = file.where(F.pmod(F.xxhash64("row"), F.lit(keep)) == 0).repartition(SAMPLE_TASKS)
+    start = kth_lower(few.mapInArrow(bounded, PAIRS)).toArrow()
+    known = spark.sparkContext.broadcast({c: start.column(c).to_numpy() for c in start.column_names})
+    pairs = stored(file.mapInArrow(lambda batches: bounded(batches, known), PAIRS), "bounds")
+    kth = F.broadcast(kth_lower(pairs))
     reaches = F.expr("least is null or upper > least or (upper = least and (vec_id < i or (vec_id = i and row <= r)))")
     alive = pairs.where("upper is not null").join(kth, "query_id", "left").where(reaches).select("query_id", "row", "vec_id", "upper")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("upper").desc(), "vec_id", "row"))
