@@ -4,7 +4,8 @@ Template: each run of adjacent turns of one role is a block ``<s>[ROLE]role[/ROL
 are escaped so that no control string of the template (or ``<|``) stands in them: a backslash is doubled, and a backslash
 is put after the first character of each control string. Dropping the backslash of each pair reads it back.
 
-Steps: collect the turn structs, sort them, merge adjacent turns of a role by aggregating over the array, join.
+Steps: collect the turn structs, sort them, merge adjacent turns of a role by comparing the array with itself one place on,
+add up the lengths before each text, join. All are array expressions; none copies the array at each turn.
 
 Defined cases: a null text or role is empty; a null turn sorts first, ties sort by role, then text; repeated rows are turns
 of their own; rows with a null conv_id form one conversation; no rows give no conversation. A conversation becomes one
@@ -13,6 +14,8 @@ string and so must fit in a row; its turns are collected by hash aggregation and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,43 +34,57 @@ def unescaped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once. An expression that a lambda reads from outside would be computed at each of its steps."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it. About sqrt(n) parts of sqrt(n) numbers: n * sqrt(n) steps."""
+
+    def by_parts(w: Column) -> Column:
+        n = F.ceil(F.sqrt(F.size(w))).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(w, k * n + 1, n)), within)
+
+    def within(parts: Column) -> Column:
+        each = lambda sums: F.flatten(F.transform(parts, lambda part, k: let(total(F.slice(sums, F.lit(1), k)), lambda base: F.transform(part, lambda _, i: base + total(F.slice(part, F.lit(1), i))))))
+        return let(F.transform(parts, total), each)
+
+    return let(numbers, by_parts)
+
+
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted (the text to train on) and loss (array of start and length in it, in code points: the escaped
     texts of the loss role, without marks)."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = turns.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text")).alias("t"))
-    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    plain = F.transform("turns", lambda t: F.struct(escaped(t.role).alias("role"), F.array(escaped(t.text)).alias("texts")))
-
-    def joined(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        more = F.struct(last.role.alias("role"), F.concat(last.texts, t.texts).alias("texts"))
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)).role == t.role)
-        return F.when(same, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more))).otherwise(F.concat(done, F.array(t)))
-
-    none = F.expr("cast(array() as array<struct<role: string, texts: array<string>>>)")
-    blocks = sorted_turns.select("conv_id", F.aggregate(plain, none, joined).alias("blocks"))
-    # A piece is a mark or a text; the pieces in order are the formatted string.
-    piece = lambda s, on: F.struct(s.alias("s"), on.alias("on"))
-    off = F.lit(False)
-
-    def pieces(b: Column) -> Column:
-        texts = F.flatten(F.transform(b.texts, lambda x, i: F.array(piece(F.when(i > 0, F.lit("[TURN]")).otherwise(F.lit("")), off), piece(x, b.role == loss_role))))
-        return F.concat(F.array(piece(F.concat(F.lit("<s>[ROLE]"), b.role, F.lit("[/ROLE]")), off)), texts, F.array(piece(F.lit("</s>"), off)))
-
-    cut = blocks.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("pieces"))
-    start = F.expr("cast(named_struct('at', 0L, 'loss', array()) as struct<at: bigint, loss: array<struct<start: bigint, length: bigint>>>)")
-
-    def marked(acc: Column, p: Column) -> Column:
-        n = F.length(p.s).cast("long")
-        span = F.array(F.struct(acc.at.alias("start"), n.alias("length")))
-        return F.struct((acc.at + n).alias("at"), F.when(p.on, F.concat(acc.loss, span)).otherwise(acc.loss).alias("loss"))
-
-    return cut.select(
-        "conv_id",
-        F.array_join(F.transform("pieces", lambda p: p.s), "").alias("formatted"),
-        F.aggregate("pieces", start, marked, lambda acc: acc.loss).alias("loss"),
-    )
+    collected = rows.groupBy("conv_id").agg(F.collect_list("t").alias("turns"))
+
+    def merged(ordered: Column) -> Column:
+        """Each turn with the mark that joins it to the block of its role, or ends that block and begins its own."""
+        roles = F.transform(ordered, lambda t: t.role)
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(roles, F.lit(1), F.size(ordered) - 1))
+        opening = lambda r: F.concat(F.lit("<s>[ROLE]"), escaped(r), F.lit("[/ROLE]"))
+        mark = lambda r, b: F.when(b.isNull(), opening(r)).when(b == r, F.lit("[TURN]")).otherwise(F.concat(F.lit("</s>"), opening(r)))
+        return F.zip_with(ordered, before, lambda t, b: F.struct(mark(t.role, b).alias("mark"), escaped(t.text).alias("text"), (t.role == loss_role).alias("on")))
+
+    def written(pieces: Column) -> Column:
+        starts = sums_before(F.transform(pieces, lambda p: (F.length(p.mark) + F.length(p.text)).cast("long")))
+        spans = F.zip_with(pieces, starts, lambda p, at: F.struct(p.on.alias("on"), (at + F.length(p.mark)).alias("start"), F.length(p.text).cast("long").alias("length")))
+        loss = F.transform(F.filter(spans, lambda s: s.on), lambda s: F.struct(s.start.alias("start"), s["length"].alias("length")))
+        whole = F.concat(F.array_join(F.transform(pieces, lambda p: F.concat(p.mark, p.text)), ""), F.lit("</s>"))
+        return F.struct(whole.alias("formatted"), loss.alias("loss"))
+
+    both = let(F.sort_array("turns"), lambda ordered: let(merged(ordered), written))
+    return collected.select("conv_id", both.alias("both")).select("conv_id", "both.formatted", "both.loss")
+
+
+#: Code points of a part of a text from which spans are cut, since cutting walks a string from its beginning.
+PART = 4096
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -76,9 +93,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
     head = lambda b: F.substring_index(b, "[/ROLE]", 1)
     body = lambda b: F.substr(b, F.length(head(b)) + F.lit(len("[/ROLE]") + 1))
     role = lambda b: unescaped(F.substr(head(b), F.lit(len("<s>[ROLE]") + 1)))
-    turns = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(body(b), r"\[TURN\]"), lambda t: F.struct(role(b).alias("role"), unescaped(t).alias("text")))))
-    masked = F.transform("loss", lambda s: unescaped(F.substr("formatted", (s.start + 1).cast("int"), s["length"].cast("int"))))
-    return formatted.select("conv_id", "formatted", turns.alias("turns"), F.array_join(masked, "").alias("loss_text"))
+    turns = F.flatten(F.transform(blocks, lambda b: let(role(b), lambda r: F.transform(F.split(body(b), r"\[TURN\]"), lambda t: F.struct(r.alias("role"), unescaped(t).alias("text"))))))
+
+    def masked(parts: Column) -> Column:
+        first, last = (lambda s: F.floor(s.start / PART)), (lambda s: F.floor((s.start + s["length"]) / PART))
+        near = lambda s: F.array_join(F.slice(parts, (first(s) + 1).cast("int"), (last(s) - first(s) + 1).cast("int")), "")
+        return F.array_join(F.transform("loss", lambda s: unescaped(F.substr(near(s), (s.start % PART + 1).cast("int"), s["length"].cast("int")))), "")
+
+    cut = F.regexp_extract_all("formatted", F.lit("(?s).{1,%d}" % PART), F.lit(0))
+    return formatted.select("conv_id", "formatted", turns.alias("turns"), let(cut, masked).alias("loss_text"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +123,6 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """DuckDB: hashes straight from the rows, and the formatted length from the template's definition."""
-    esc = r"regexp_replace(replace({}, '\', '\\'), '(<|\[)((?:/?s>|\|)|(?:/?ROLE\]|TURN\]|/?INST\]))', '\1\\\2', 'g')"
     # Only "<" opens "s>" and "|", only "[" opens the rest.
     esc = r"regexp_replace(regexp_replace(replace({}, '\', '\\'), '<(/?s>|\|)', '<\\\1', 'g'), '\[(/?ROLE\]|TURN\]|/?INST\])', '[\\\1', 'g')"
     return f"""
