@@ -1,6 +1,6 @@
 """Sharding by sampled splitters, in DataFrame operations only.
 
-A row's key is (hash of its text, hash of its id): equal texts stand together, in an order that has nothing to do with size.
+A row's key is (hash of its text, hash of its id and place): equal texts stand together, in an order that has nothing to do with size.
 A size-weighted sample of keys gives quantile boundaries for many more ranges than shards. The exact bytes of each range are
 counted; ranges over the bound are subdivided at boundaries from a second, denser sample of their own, inside a group of
 equal texts too where one is that large. Runs of neighbouring ranges become shards of nearly equal bytes.
@@ -8,8 +8,8 @@ equal texts too where one is that large. Runs of neighbouring ranges become shar
 Law: ``bytes``. Slots number the rows of a shard from 0 by key: counts of the ranges before, then the row's number in its
 range, so no shard is ever sorted in one task.
 
-Defined cases: a null text has size 1 and crc32 0, as the empty one; rows that repeat get slots of their own; a null id
-sorts first; an empty table gives an empty result; with fewer rows than shards some shards stay empty.
+Defined cases: a null text has size 1 and crc32 0, as the empty one; rows that repeat, of one id or of none, get slots of
+their own and are split over ranges and shards where they fill more than one; an empty table gives an empty result; with fewer rows than shards some shards stay empty.
 """
 
 from __future__ import annotations
@@ -34,14 +34,15 @@ LEAST = -(2**63)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The narrow row of each document: doc_id, size, text_crc32, k1 (hash of text), k2 (hash of id)."""
+    """The narrow row of each document: doc_id, size, text_crc32, k1 (hash of text), k2 (hash of id and place in the input, so
+    that rows with the same id and text have keys of their own and are drawn and parted like any others)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("k1"),
-        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("place")).alias("k2"),
+        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.monotonically_increasing_id()).alias("k2"),
     )
 
 
@@ -128,7 +129,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc
     rows = stored(keyed(docs, id_col, text_col), "shard")
     bounds, slots = plan_ranges(rows, shards)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(text).alias("k1"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("place")).alias("k2"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(text).alias("k1"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.monotonically_increasing_id()).alias("k2"))
     kind = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("shard", T.IntegerType())])
     placed = docs.sparkSession.createDataFrame([(k, s) for k, (s, _) in slots.items()], kind)
     out = in_ranges(named, bounds).join(F.broadcast(placed), "range")
