@@ -1,7 +1,7 @@
 """Secret scanning over a trigram inverted index.
 
 From each rule's regular expression a Boolean query over lower-cased trigrams is derived: what every match must contain. For
-each batch of documents the postings of the needed trigrams are built, the queries intersect and unite them, and only the
+each batch of documents the postings of the needed trigrams are built in one pass over its bytes, the queries intersect and unite them, and only the
 candidates run the expression. A rule without a mandatory trigram scans every text in full: a run of one character class is
 looked for in one pass over the text's translated bytes, any other rule by its expression.
 
@@ -18,8 +18,6 @@ import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from re import _constants as C
-from re import _parser
 
 import numpy as np
 import pandas as pd
@@ -28,6 +26,13 @@ from pyspark.sql import functions as F
 
 from grovemark.llm.common import small_batches, table
 
+try:  # The parser of re has no public name; its tree is held to by a test.
+    from re import _constants as C
+    from re import _parser
+except ImportError:
+    import sre_constants as C
+    import sre_parse as _parser
+
 
 @dataclass(frozen=True)
 class SecretRule:
@@ -55,6 +60,8 @@ MORE = (
 Query = bool | str | tuple
 #: Sets of strings above this many, and strings above this length, are broken into trigrams while deriving.
 MANY, LONG = 64, 24
+#: Bytes whose trigrams are told apart at once.
+SLICE = 1 << 22
 
 
 def both(op: str, parts: Sequence[Query]) -> Query:
@@ -142,18 +149,34 @@ def trigrams(q: Query) -> set[str]:
 
 
 class Postings:
-    """Of one batch: for each needed trigram the documents (as a mask) that hold it."""
-
-    def __init__(self, texts: Sequence[str], needed: Sequence[str]) -> None:
-        low = [t.lower() for t in texts]
-        self.n = len(low)
-        self.of = {g: np.fromiter((g in t for t in low), bool, self.n) for g in needed}
+    """For each needed trigram the documents (as a mask) that hold it, from one pass over the trigrams of all texts: every
+    position's three bytes are one number, and a table of all such numbers tells which trigram, if any, it is."""
+
+    def __init__(self, texts: Sequence[bytes], table: np.ndarray, needed: Sequence[str]) -> None:
+        self.n, k = len(texts), len(needed)
+        held = np.zeros((k + 1, self.n), bool)
+        lo = 0
+        while lo < self.n:
+            hi, size = lo, 0
+            while hi < self.n and (hi == lo or size + len(texts[hi]) < SLICE):
+                size += len(texts[hi]) + 1
+                hi += 1
+            # 0xFF stands in no text and so in no needed trigram.
+            data = np.frombuffer(b"\xff".join(texts[lo:hi]).lower() + b"\xff\xff", np.uint8)
+            ends = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
+            for at in range(0, len(data) - 2, SLICE):
+                part = data[at : at + SLICE + 2].astype(np.uint32)
+                which = table[part[:-2] | part[1:-1] << 8 | part[2:] << 16]
+                place = np.nonzero(which)[0]
+                held[which[place], lo + np.searchsorted(ends, place + at, "right")] = True
+            lo = hi
+        self.of = {g: held[j + 1] for j, g in enumerate(needed)}
 
     def meet(self, q: Query) -> np.ndarray:
         if q is True:
             return np.ones(self.n, bool)
         if isinstance(q, str):
-            return self.of[q]
+            return self.of[q] if q in self.of else np.ones(self.n, bool)
         masks = [self.meet(x) for x in q[1]]
         return (np.logical_and if q[0] == "and" else np.logical_or).reduce(masks)
 
@@ -162,7 +185,11 @@ class Scanner:
     def __init__(self, rules: Sequence[SecretRule] = BASE + MORE) -> None:
         self.rules = list(rules)
         self.queries = [trigram_query(r.regex) for r in rules]
-        self.needed = sorted(set().union(*map(trigrams, self.queries)))
+        # One with other than ASCII characters is no demand: texts are lower-cased in ASCII only.
+        self.needed = sorted(g for g in set().union(*map(trigrams, self.queries)) if g.isascii())
+        self.table = np.zeros(1 << 24, np.uint16)
+        for j, g in enumerate(self.needed):
+            self.table[int.from_bytes(g.encode(), "little")] = j + 1
         self.compiled = [re.compile(r.regex, re.ASCII) for r in rules]
         self.runs = [self.run_of(r, q) for r, q in zip(rules, self.queries, strict=True)]
 
@@ -181,13 +208,14 @@ class Scanner:
     def spans(self, texts: Sequence[str]) -> list[list[tuple[int, int, int]]]:
         """For each text its (start, rule, end), sorted."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        postings = Postings(texts, self.needed)
+        coded = [t.encode("utf-8", "replace") for t in texts]
+        postings = Postings(coded, self.table, self.needed)
         for k, (rule, query) in enumerate(zip(self.rules, self.queries, strict=True)):
             for i in np.nonzero(postings.meet(query))[0]:
                 text = texts[i]
                 if self.runs[k] is not None:
                     to_one, run = self.runs[k]
-                    if run not in text.encode("utf-8", "replace").translate(to_one):
+                    if run not in coded[i].translate(to_one):
                         continue
                 for m in self.compiled[k].finditer(text):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
@@ -200,11 +228,12 @@ class Scanner:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[SecretRule] = BASE + MORE) -> DataFrame:
     """doc_id and spans (array of kind, start, end in order of start, then kind as listed): one row per document."""
     small_batches(docs.sparkSession)
-    scanner, kinds = Scanner(rules), [r.kind for r in rules]
+    kinds = [r.kind for r in rules]
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     @F.pandas_udf("array<struct<kind: string, start: bigint, end: bigint>>")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scanner = Scanner(rules)
         for s in parts:
             yield pd.Series([[{"kind": kinds[k], "start": a, "end": b} for a, k, b in row] for row in scanner.spans(s.tolist())], index=s.index, dtype=object)
 
@@ -220,11 +249,3 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[number(r.kind) for r in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
-
-
-def brute_force(text: str | None, rules: Sequence[SecretRule] = BASE + MORE) -> list[tuple[str, int, int]]:
-    """Every rule's expression over the whole text; for tests."""
-    found = []
-    for k, r in enumerate(rules):
-        found += [(m.start(), k, m.end()) for m in re.finditer(r.regex, text or "", re.ASCII) if len(m.group(r.group)) >= r.least]
-    return [(rules[k].kind, a, b) for a, k, b in sorted(found)]
