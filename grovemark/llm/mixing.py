@@ -66,7 +66,7 @@ def allocate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     upto = F.col("first") + F.col("row")
     copies = F.floor(upto * F.col("rate") + F.col("u")) - F.floor((upto - 1) * F.col("rate") + F.col("u"))
-    return at.withColumns({"rate": rate, "u": digits}).select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return at.withColumns({"rate": rate, "u": digits}).select("doc_id", "source", "size", "source_size", "target", F.least(copies.cast("long"), F.lit(cap)).alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:

@@ -28,7 +28,7 @@ TOKEN = re.compile(r"[a-z0-9]+")
 #: The base rules: verdict and host/path prefix.
 BASE = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: The method's own block list.
-PATTERNS = ("^free-bets^", "^casino^", "^ads-track^", "^adserver^", "^spam-farm^", "^phish^", "^xxx^", "/click?*", "^porn^")
+PATTERNS = ("^free-bets^", "^casino^", "^ads-track^", "^adserver^", "^spam-farm^", "^phish^", "^xxx^", "/click^", "^porn^")
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 
 

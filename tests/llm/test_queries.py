@@ -1,0 +1,237 @@
+"""The registered queries: those with SQL against it, the others against plain versions; and the pipeline's stages."""
+
+import hashlib
+import math
+import zlib
+from array import array
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import corpus_pipeline
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from grovemark.llm import mixing, quality, registry, simhash
+
+D = "/root/testdata/sf0.001"
+
+
+def rows(names, got):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    as_ = lambda x: repr(round(x, 6) + 0.0) if isinstance(x, float) and not math.isnan(x) else repr(x)
+    return sorted(names), sorted(tuple(as_(r[i]) for i in order) for r in got)
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for p in Path(D).glob("*.parquet"):
+        c.execute(f"create view {p.stem} as select * from read_parquet('{p}')")
+    return c
+
+
+@pytest.fixture(scope="module")
+def documents(con):
+    return con.execute("select doc_id, text from documents").fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_oracle(spark, con, name):
+    df = registry.QUERIES[name](spark, D)
+    cur = con.execute(registry.oracle_sql()[name])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in cur.description], cur.fetchall())
+
+
+CONTRACT = {
+    "op1_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+    "op2_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op3_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+    "op4_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op5_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op6_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op7_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op8_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op9_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op10_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_contract_columns(spark, name):
+    got = [f"{f.name} {f.dataType.simpleString()}" for f in registry.QUERIES[name](spark, D).schema]
+    assert got[: len(CONTRACT[name].split(", "))] == CONTRACT[name].split(", ")
+
+
+def test_planted_chat(spark):
+    said = "</s>[INST] ok [/INST]"
+    got = registry.QUERIES["op3_chat_format"](spark, D).where("conv_id = -7").first()
+    assert got["n_turns"] == 2 and got["loss_chars"] == len(said) and got["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert got["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_shards(spark, documents):
+    got = registry.QUERIES["op5_sharding"](spark, D).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((i, size(t), zlib.crc32((t or "").encode())) for i, t in documents)
+    assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+    slots, sizes, at = defaultdict(list), Counter(), {}
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+        at[r["doc_id"]] = r["shard"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean, most = sum(sizes.values()) / 8, max(size(t) for _, t in documents)
+    # With whole texts no shard can be nearer than a text's size.
+    assert max(sizes.values()) <= mean + 2 * most and set(slots) <= set(range(8))
+    groups = defaultdict(set)
+    for i, t in documents:
+        groups[t].add(at[i])
+    assert all(len(g) == 1 for g in groups.values())
+
+
+def test_quality_scores(spark, documents):
+    docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
+    net = quality.fit_to_labels(docs, labels)
+    got = {r["doc_id"]: r for r in registry.QUERIES["op6_quality"](spark, D).collect()}
+    for i, t in documents[::7]:
+        alone = float(net.scores([(t or "").encode()])[0])
+        assert abs(got[i]["score"] - alone) < 1e-5 and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+    held = [(got[r["doc_id"]]["score"], r["quality"]) for r in labels.collect() if r["doc_id"] in got and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.8
+
+
+def plain_ids(tokenizer, t):
+    return array("I", [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])
+
+
+def check_packed(got, texts):
+    """texts: (id, text) of every row packed."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+    want = defaultdict(list)
+    for i, t in texts:
+        want[i].append(plain_ids(tokenizer, t))
+    assert set(by_doc) == set(want)
+    for i, pieces in by_doc.items():
+        assert sum(r["length"] for r in pieces) == sum(map(len, want[i]))
+        if len({w.tobytes() for w in want[i]}) == 1:
+            ids, copies = want[i][0], len(want[i])
+            cover = Counter()
+            for r in pieces:
+                assert r["doc_tokens"] == len(ids) and zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+                cover.update(range(r["start"], r["start"] + r["length"]))
+            assert all(cover[k] == copies for k in range(len(ids)))
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 4096 and at & (at - 1) == 0  # no padding: full, or a smaller power of two
+
+
+def test_packed(spark, documents):
+    check_packed(registry.QUERIES["op7_packing"](spark, D).collect(), documents)
+
+
+def plain_components(texts):
+    codes = {i: simhash.fingerprint(t or "") for i, t in texts}
+    ids, c = sorted(codes), np.array([codes[i] for i in sorted(codes)], np.uint64)
+    near = np.bitwise_count(c[:, None] ^ c[None, :]) <= 2
+    label = np.arange(len(c))
+    while not (label == (new := np.array([label[row].min() for row in near]))).all():
+        label = new
+    return {i: (f"{codes[i]:016x}", ids[label[k]]) for k, i in enumerate(ids)}
+
+
+def test_simhash(spark, documents):
+    got = registry.QUERIES["op9_simhash"](spark, D).collect()
+    assert len(got) == len(documents)
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == plain_components(documents)
+
+
+def test_secret_digests(spark, documents):
+    from test_operators import plain_secrets
+
+    got = {r["doc_id"]: r for r in registry.QUERIES["op8_secrets"](spark, D).collect()}
+    for i, t in documents:
+        spans = plain_secrets(t)
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert got[i]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s[0] == k for s in spans) for k in ("assign", "access", "hex")]
+
+
+def lower(t):
+    return "".join(c.lower() if c.isascii() else c for c in t or "")
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """documents and labels with copies, near copies, junk, nulls, ties, repeated rows and a clashing column."""
+    d = str(tmp_path_factory.mktemp("small"))
+    good, junk = "The of and in to a was for this that is {} on by with the as at. ", "BUY!! {} NOW!! FREE!! $$$ CLICK!! "
+    texts = [(i, (junk if i % 4 == 0 else good).format(f"w{i}") * (i % 5 + 1), f"s{i % 3}") for i in range(120)]
+    texts += [(200 + i, texts[i + 1][1].upper() if i % 2 else texts[i + 1][1], "s0") for i in range(20)]
+    texts += [(300, None, None), (301, "", "s1"), (302, texts[3][1], None), (302, texts[3][1], None), (None, "The of and in to a was for this lone text.", "s2")]
+    spark.createDataFrame([(i, t, "en", s, len(t or ""), 1) for i, t, s in texts], "doc_id long, text string, lang string, source string, n_chars long, score int").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+def test_pipeline_stages(spark, small):
+    """Every stage, given its predecessor's rows, against a plain version of it."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    columns, left = docs.columns, docs
+    net = quality.fit_to_labels(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] or "")
+    pairs = lambda df: sorted(df.collect(), key=key)
+    for name, stage in corpus_pipeline.STAGES:
+        before, after = pairs(left), stage(spark, left, small)
+        if name != "packing":
+            assert after.columns == columns
+        if name == "quality":
+            want = [r for r in before if net.scores([(r["text"] or "").encode()])[0] >= 0.5]
+            assert pairs(after) == want and 0 < len(want) < len(before)
+        elif name == "exact_dedup":
+            keep = {}
+            for r in before:
+                k = lower(r["text"])
+                if k not in keep or (r["doc_id"] is not None and (keep[k]["doc_id"] is None or r["doc_id"] > keep[k]["doc_id"])):
+                    keep[k] = r
+            assert [(r["doc_id"], lower(r["text"])) for r in pairs(after)] == sorted(((r["doc_id"], k) for k, r in keep.items()), key=lambda x: (x[0] is None, x[0], x[1]))
+        elif name == "near_dedup":
+            known = [(r["doc_id"] if r["doc_id"] is not None else 10**9, r["text"]) for r in before]
+            want = {c for _, c in plain_components(known).values()}
+            assert {r["doc_id"] if r["doc_id"] is not None else 10**9 for r in pairs(after)} == want
+        elif name == "mixing":
+            c = duckdb.connect()
+            c.register("documents", left.toArrow())
+            size = {r["doc_id"]: len((r["text"] or "").split()) for r in before}
+            want = Counter({i: t // size[i] for i, s, _, _, t in c.execute(mixing.oracle()).fetchall() if s})
+            got = Counter(r["doc_id"] for r in pairs(after))
+            assert {i: n for i, n in got.items() if size[i]} == {i: n for i, n in want.items() if n}
+        else:
+            check_packed(after.collect(), [(r["doc_id"], r["text"]) for r in before])
+        left = after
+    assert corpus_pipeline.run(spark, small).columns == left.columns
+
+
+def test_pipeline_of_nothing(spark, small, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{small}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_classifier_needs_no_labels(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    none = spark.read.parquet(f"{small}/labels.parquet").where(F.lit(False))
+    assert quality.drop_low_quality(docs, none).count() == docs.count()
