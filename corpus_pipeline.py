@@ -50,7 +50,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: A fitted network and a tokenizer can't be expressed in SQL; no test runs run() against a plain version.
+#: A fitted network and a tokenizer can't be expressed in SQL; tests hold each stage against a plain version.
 ORACLE_SQL: str | None = None
 
 
