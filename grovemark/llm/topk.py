@@ -1,7 +1,8 @@
 """Exact top-k inner products by a vector-approximation file.
 
 Vectors are integers: floor(64 * x) of each component. The file holds one byte a component, the number of the cell that it
-lies in; the cells' edges are quantiles of all components. Queries are sent to the tasks in portions, one scan of the bytes
+lies in; the cells' edges are quantiles of the components of a sample of SAMPLE to 2 * SAMPLE
+rows (any edges give right results; those at the ends are of all rows). Queries are sent to the tasks in portions, one scan of the bytes
 each. From the bytes alone a task bounds every candidate's score from above, and the scores of the best k by that bound from
 below; what can't reach the k-th of these lower bounds is left out, in the task and then over all tasks. Exact vectors are
 then read of the survivors only, in the order of the upper bound: a first stretch, which fixes a k-th exact score, and then
@@ -30,7 +31,7 @@ from grovemark.llm.common import stored, table
 K, SCALE = 20, 64
 #: Candidates of a block, queries of a block, queries of a portion and their bytes, cells at most.
 BLOCK, QUERIES, PORTION, PORTION_BYTES, CELLS = 4096, 256, 32_768, 1 << 25, 256
-#: Candidates of the first scan, at most about twice as many, and its tasks.
+#: Rows of the sample, at most about twice as many: for the edges and the first scan, which has SAMPLE_TASKS tasks.
 SAMPLE, SAMPLE_TASKS = 16_384, 8
 PAIRS = "query_id long, row long, vec_id long, upper double, lower double"
 SCORES = "query_id long, vec_id long, score long"
@@ -49,14 +50,17 @@ def matrix(vectors: pa.Array, width: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(vectors), width)
 
 
-def cell_edges(vectors: DataFrame, cells: int = CELLS) -> np.ndarray:
-    """At most cells + 1 ascending integers; cell c holds those from edge c up to but without edge c + 1."""
-    points = [k / cells for k in range(1, cells)]
-    seen = vectors.select(F.explode("v").alias("x")).agg(F.min("x"), F.max("x"), F.percentile_approx("x", points, 20_000)).first()
-    if seen[0] is None:
+def cell_edges(vectors: DataFrame, keep: int, cells: int = CELLS) -> np.ndarray:
+    """At most cells + 1 ascending integers; cell c holds those from edge c up to but without edge c + 1. The first and last
+    are of all vectors(row, vec_id, v); those between are quantiles of the components of one row in keep, and any would do."""
+    ends = vectors.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    if ends[0] is None:
         return np.array([0, 1], np.int64)
-    inner = [x for x in sorted(set(seen[2])) if x > seen[0]]
-    return np.array([seen[0], *inner, min(seen[1] + 1, 2**63 - 1)], np.int64)
+    points = [k / cells for k in range(1, cells)]
+    few = vectors.where(F.pmod(F.xxhash64("row"), F.lit(keep)) == 0).select(F.explode("v").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    seen = few.agg(F.percentile("x", F.array(*map(F.lit, points)), F.col("n"))).first()[0] or []
+    inner = [x for x in sorted({int(x) for x in seen}) if ends[0] < x <= ends[1]]
+    return np.array([ends[0], *inner, min(ends[1] + 1, 2**63 - 1)], np.int64)
 
 
 def approximation_file(vectors: DataFrame, edges: np.ndarray) -> DataFrame:
@@ -174,7 +178,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, portion: int =
     place = F.row_number().over(Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id"))
     rare = candidates.withColumn("__place", place).where(F.col("__place") <= k + 1).drop("__place")
     exact = stored(rare.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    edges = cell_edges(exact)
+    keep = max(1, exact.count() // SAMPLE)
+    edges = cell_edges(exact, keep)
     file = approximation_file(exact, edges)
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     width, n = asked.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
@@ -182,13 +187,13 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, portion: int =
     asked = stored(asked.withColumn("p", F.pmod(F.xxhash64("vec_id"), F.lit(portions))), "queries")
     out = None
     for p in range(portions):
-        part = portion_scores(spark, asked.where(F.col("p") == p).select("vec_id", "v"), exact, file, edges, k, read)
+        part = portion_scores(spark, asked.where(F.col("p") == p).select("vec_id", "v"), exact, file, edges, k, keep, read)
         out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def portion_scores(spark: SparkSession, asked: DataFrame, exact: DataFrame, file: DataFrame, edges: np.ndarray, k: int, read: list[int] | None) -> DataFrame:
+def portion_scores(spark: SparkSession, asked: DataFrame, exact: DataFrame, file: DataFrame, edges: np.ndarray, k: int, keep: int, read: list[int] | None) -> DataFrame:
     """Exact scores of all that may be among the k best of the queries of one portion (bounded rows and bytes)."""
     got = asked.toArrow().combine_chunks()
     ids, vectors = got.column("vec_id").to_numpy(), got.column("v").combine_chunks()
@@ -222,7 +227,6 @@ def portion_scores(spark: SparkSession, asked: DataFrame, exact: DataFrame, file
         return kth.select("query_id", F.col("lower").alias("least"), F.col("vec_id").alias("i"), F.col("row").alias("r"))
 
     # A first scan of a sample of bounded size: its k-th bounds let all tasks leave out most candidates from the start.
-    keep = max(1, file.count() // SAMPLE)
     few = file.where(F.pmod(F.xxhash64("row"), F.lit(keep)) == 0).repartition(SAMPLE_TASKS)
     start = kth_lower(few.mapInArrow(bounded, PAIRS)).toArrow()
     known = spark.sparkContext.broadcast({c: start.column(c).to_numpy() for c in start.column_names})
