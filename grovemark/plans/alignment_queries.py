@@ -95,7 +95,7 @@ def _(spark, d):
     return al.offsets_hold(spans, _texts(spark, d)).groupBy("report").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok"))
 
 
-_TG = "SELECT report, i, text, CASE i % 3 WHEN 0 THEN upper(w1) WHEN 1 THEN w1 || ' ' || w2 ELSE 'zzz' END AS trigger FROM (SELECT report, i, t AS text, coalesce(regexp_extract_all(t, '[a-zA-Z]+')[2], '') AS w1, coalesce(regexp_extract_all(t, '[a-zA-Z]+')[3], '') AS w2 FROM cv)"
+_TG = "SELECT report, i, text, CASE i % 3 WHEN 0 THEN upper(w1) WHEN 1 THEN w1 || ' ' || w2 ELSE 'zzz' END AS trigger FROM (SELECT report, i, t AS text, coalesce(regexp_extract_all(t, '[a-zA-Z]+')[2], '') AS w1, coalesce(regexp_extract_all(t, '[a-zA-Z]+')[3], '') AS w2 FROM (SELECT report, i, regexp_replace(t, '[^ -~]', 'x', 'g') AS t FROM cv))"
 _TS = r"SELECT report, i, lower(text) AS text, regexp_replace(lower(trim(trigger)), '\s+', '\\s+', 'g') AS p, trim(trigger) AS trigger FROM tg"
 _TF = r"SELECT report, i, CASE WHEN trigger = '' THEN NULL WHEN regexp_matches(text, '\b' || p || '\b') THEN length(regexp_extract(text, '^(.*?)\b' || p || '\b', 1, 's')) WHEN regexp_matches(text, p) THEN length(regexp_extract(text, '^(.*?)' || p, 1, 's')) END AS start, CASE WHEN regexp_matches(text, '\b' || p || '\b') THEN length(regexp_extract(text, '\b' || p || '\b')) ELSE length(regexp_extract(text, p)) END AS n FROM ts"
 
@@ -106,7 +106,8 @@ def _(spark, d):
     w = F.regexp_extract_all("t", F.lit("[a-zA-Z]+"), F.lit(0))
     w1, w2 = (F.coalesce(F.try_element_at(w, F.lit(k)), F.lit("")) for k in (2, 3))
     trigger = F.when(F.col("i") % 3 == 0, F.upper(w1)).when(F.col("i") % 3 == 1, F.concat(w1, F.lit(" "), w2)).otherwise("zzz")
-    rows = _turns(spark, d).withColumn("trigger", trigger).withColumn("x", al.find_trigger(F.col("t"), F.col("trigger")))
+    # The engines differ in what a word end is beside other than ASCII letters.
+    rows = _turns(spark, d).withColumn("t", F.regexp_replace("t", "[^ -~]", "x")).withColumn("trigger", trigger).withColumn("x", al.find_trigger(F.col("t"), F.col("trigger")))
     return rows.select("report", "i", "x.start", F.col("x.end").alias("finish"))
 
 

@@ -159,10 +159,10 @@ _GB = "1073741824.0"
 
 
 @query("cost_profile", "priority:s n_reports:i seconds:d seconds_per_report:d peak_gb:d hours_per_term:d bytes_per_term:d break_even:d",
-       f"SELECT o_orderpriority AS priority, count(*) AS n_reports, sum(o_totalprice) AS seconds, sum(o_totalprice) / count(*) AS seconds_per_report, max(o_totalprice) * 1e6 / {_GB} AS peak_gb, sum(o_totalprice) / 3600 / count(DISTINCT o_custkey) AS hours_per_term, max(o_totalprice) * 1e6 / count(DISTINCT o_custkey) AS bytes_per_term, CASE WHEN 150000 > sum(o_totalprice) / count(*) THEN 3600 * (sum(o_totalprice) / 3600) / (150000 - sum(o_totalprice) / count(*)) ELSE CAST('Infinity' AS DOUBLE) END AS break_even FROM orders GROUP BY 1")
+       f"SELECT priority, n_reports, s AS seconds, s / n_reports AS seconds_per_report, b / {_GB} AS peak_gb, s / 3600 / n_terms AS hours_per_term, b / n_terms AS bytes_per_term, CASE WHEN 150000 > s / n_reports THEN s / (150000 - s / n_reports) ELSE CAST('Infinity' AS DOUBLE) END AS break_even FROM (SELECT o_orderpriority AS priority, count(*) AS n_reports, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / 100.0 AS s, max(o_totalprice) * 1e6 AS b, count(DISTINCT o_custkey) AS n_terms FROM orders GROUP BY 1)")
 def _(spark, d):
     """Cost columns of runs, here the orders of a priority: time and memory a report, set-up cost a term, break-even size."""
-    o = fx.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n_reports"), F.sum("o_totalprice").alias("seconds"), (F.max("o_totalprice") * 1e6).alias("bytes"), F.countDistinct("o_custkey").alias("terms"))
+    o = fx.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n_reports"), (F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / 100).alias("seconds"), (F.max("o_totalprice") * 1e6).alias("bytes"), F.countDistinct("o_custkey").alias("terms"))
     hours, each = F.col("seconds") / 3600, F.col("seconds") / F.col("n_reports")
     return o.select("priority", "n_reports", "seconds", each.alias("seconds_per_report"), (F.col("bytes") / 1024**3).alias("peak_gb"), (hours / F.col("terms")).alias("hours_per_term"), (F.col("bytes") / F.col("terms")).alias("bytes_per_term"), s.break_even(hours, F.lit(150000.0), each).alias("break_even"))
 

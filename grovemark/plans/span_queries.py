@@ -150,12 +150,12 @@ def _(spark, d):
 
 
 # Scored segments of queries: a query is a part of the report or a nation above it.
-_SG = "SELECT l_orderkey % 200 AS report, l_linenumber * 100000 + l_orderkey AS idx, 'P' || l_partkey % 50 AS term, l_partkey % 6 AS hops, l_quantity / 50 AS score, l_returnflag = 'R' AS relevant FROM lineitem"
+_SG = "SELECT l_orderkey % 200 AS report, ((l_linenumber * 1000000 + l_orderkey) * 100000 + l_partkey) * 10000 + l_suppkey AS idx, 'P' || l_partkey % 50 AS term, l_partkey % 6 AS hops, l_quantity / 50 AS score, l_returnflag = 'R' AS relevant FROM lineitem"
 _SGR = "SELECT *, row_number() OVER (PARTITION BY report, term ORDER BY score DESC, idx) AS rank, CASE WHEN hops = 0 THEN '0 (annotated)' WHEN hops >= 4 THEN '4+' ELSE CAST(hops AS VARCHAR) END AS hop FROM sg"
 
 
 def _segments(spark, d):
-    li = fx.table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("report"), (F.col("l_linenumber") * 100000 + F.col("l_orderkey")).alias("idx"), F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")).alias("term"), (F.col("l_partkey") % 6).alias("hops"), (F.col("l_quantity") / 50).alias("score"), (F.col("l_returnflag") == "R").alias("relevant"))
+    li = fx.table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("report"), (((F.col("l_linenumber") * 1000000 + F.col("l_orderkey")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("idx"), F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")).alias("term"), (F.col("l_partkey") % 6).alias("hops"), (F.col("l_quantity") / 50).alias("score"), (F.col("l_returnflag") == "R").alias("relevant"))
     return cv.ranked(li).withColumn("hop", cv.hop_bucket("hops", 4))
 
 
