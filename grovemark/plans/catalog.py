@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovemark.operators import graph, quality
-from grovemark.plans import alignment_queries, calibration_queries, calmap_queries, curation_queries, error_queries, extraction_queries, fixtures, graph_queries, more_queries, nested_queries, ontology_queries, protocol_queries, quality_queries, report_queries, retrieval_queries, scalar_queries, selection_queries, source_queries, span_queries, staging_queries, text_queries, traversal_queries, vote_queries
+from grovemark.plans import alignment_queries, calibration_queries, calmap_queries, curation_queries, error_queries, extraction_queries, fixtures, graph_queries, more_queries, nested_queries, ontology_queries, protocol_queries, quality_queries, report_queries, retrieval_queries, scalar_queries, selection_queries, source_queries, span_queries, staging_queries, text_queries, traversal_queries, view_queries, vote_queries
 from grovemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
-_MODULES = (quality_queries, graph_queries, vote_queries, calibration_queries, more_queries, text_queries, traversal_queries, retrieval_queries, curation_queries, protocol_queries, scalar_queries, error_queries, span_queries, calmap_queries, nested_queries, alignment_queries, selection_queries, ontology_queries, report_queries, source_queries, extraction_queries, staging_queries)
+_MODULES = (quality_queries, graph_queries, vote_queries, calibration_queries, more_queries, text_queries, traversal_queries, retrieval_queries, curation_queries, protocol_queries, scalar_queries, error_queries, span_queries, calmap_queries, nested_queries, alignment_queries, selection_queries, ontology_queries, report_queries, source_queries, extraction_queries, staging_queries, view_queries)
 _Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -316,16 +316,3 @@ def _(spark, d):
     fit = curve.where("half = 0").agg(F.min(F.struct((-F.round("f1", 9)).alias("o"), (-F.col("tau_accept")).alias("t"), "f1")).alias("x")).select((-F.col("x.t")).alias("tau_accept"), F.col("x.f1").alias("f1_fit"))
     other = curve.where("half = 1")
     return fit.join(other.select("tau_accept", F.col("f1").alias("f1_transfer")), "tau_accept").crossJoin(other.agg(F.max("f1").alias("f1_best")))
-
-
-
-
-@query("paired_interval")
-def _(spark, d):
-    """Interval of the difference of two systems' micro F1 over 10,000 resamples of the same 200 reports."""
-    from grovemark.operators.quality import flat_units
-
-    li = fx.table(spark, d, "lineitem")
-    own = lambda where: li.where(where).select((F.col("l_orderkey") % 200).alias("report"), fx.part("l_partkey").alias("term")).distinct()
-    y = gold(spark, d)
-    return ns.paired_interval(flat_units(y, own("l_quantity >= 25")), flat_units(y, own("l_discount >= 0.05")))
