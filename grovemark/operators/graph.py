@@ -65,17 +65,21 @@ def ancestors_of(pairs: DataFrame, closed: DataFrame) -> DataFrame:
     return pairs.join(closed, pairs.term == closed.descendant).select("report", F.col("ancestor").alias("term")).distinct()
 
 
-def h_counts(gold: DataFrame, pred: DataFrame, closed: DataFrame) -> DataFrame:
-    """Per report the sizes tp, fp, fn of the two closures."""
-    from grovemark.operators.quality import aligned
+def sides(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """report, term, g, p: the distinct pairs of both, one below the other, each marked with its side."""
+    own = lambda d, g, p: d.select("report", "term").distinct().select("report", "term", F.lit(g).alias("g"), F.lit(p).alias("p"))
+    return own(gold, 1, 0).unionByName(own(pred, 0, 1))
+
 
-    return counted(aligned(ancestors_of(gold, closed), ancestors_of(pred, closed)), "report")
+def h_counts(gold: DataFrame, pred: DataFrame, closed: DataFrame) -> DataFrame:
+    """Per report the sizes tp, fp, fn of the two closures: one join with the closure and one grouping for both sides."""
+    up = sides(gold, pred).join(closed, F.col("term") == F.col("descendant")).groupBy("report", "ancestor").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    return counted(up, "report")
 
 
 def cophe_counts(gold: DataFrame, pred: DataFrame, closed: DataFrame) -> DataFrame:
     """Per report tp, fp, fn over nodes, each weighed by how many of the report's terms lie under it."""
-    under = lambda p, n: p.select("report", "term").distinct().join(closed, F.col("term") == F.col("descendant")).groupBy("report", "ancestor").agg(F.count(F.lit(1)).alias(n))
-    both = under(gold, "g").join(under(pred, "p"), ["report", "ancestor"], "full").na.fill(0, ["g", "p"])
+    both = sides(gold, pred).join(closed, F.col("term") == F.col("descendant")).groupBy("report", "ancestor").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
     zero = F.lit(0)
     return both.groupBy("report").agg(F.sum(F.least("g", "p")).alias("tp"), F.sum(F.greatest(F.col("p") - F.col("g"), zero)).alias("fp"), F.sum(F.greatest(F.col("g") - F.col("p"), zero)).alias("fn"))
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovemark.functions import replies, scalars
-from grovemark.operators import alignment, calmaps, graph, merging, nested, ontology, selection, spans, traversal
+from grovemark.operators import alignment, calmaps, graph, merging, nested, ontology, selection, spans, staging, traversal
+from grovemark.sources import resume
 
 
 def plain_smooth(rows, width):
@@ -165,3 +166,26 @@ def test_scalars_of_odd_cells(spark):
     df = spark.createDataFrame([("12",), ("1e3",), (" 7 ",), ("x",), ("",), (None,)], "c string")
     assert [r[0] for r in df.select(scalars.is_number(F.col("c"))).collect()] == [True, True, True, False, False, False]
     assert [r[0] for r in df.select(replies.wrote(F.col("c"))).collect()] == [True, True, True, True, False, False]
+
+
+def test_find_phrases(spark):
+    segments = spark.createDataFrame([(1, 0, "Severe hypotonic signs"), (1, 1, "no Hypotonia, hypotonia here"), (1, 2, "muscle-weakness seen"), (1, 3, "nothing")], "report long, segment int, text string")
+    phrases = spark.createDataFrame([(1, "T1", "hypotonia"), (1, "T2", "muscle weakness"), (2, "T3", "nothing")], "report long, term string, phrase string")
+    got = {(r["term"], r["segment"]): (r["tier"], r["start"]) for r in staging.find_phrases(segments, phrases).collect()}
+    assert got == {("T1", 0): (1, 7), ("T1", 1): (0, 3), ("T2", 2): (1, 0)}
+
+
+def test_work_that_is_cut_off(spark, tmp_path):
+    units = spark.range(40).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("unit"), "id")
+    log = resume.Checkpoint(spark, f"file://{tmp_path}/log")
+    assert log.pending(units).count() == 40
+    work = lambda part: part.select("unit", "id")
+    assert resume.run(units, work, f"file://{tmp_path}/out", log, 4, resume.Stop(spark, seconds=0)) == 0
+    assert resume.run(units, work, f"file://{tmp_path}/out", log, 4, most=1) == 1
+    # Results of a batch that was written but never marked are replaced whole.
+    work(units.where(F.pmod(F.xxhash64("unit"), F.lit(4)) == 1)).write.mode("overwrite").parquet(f"file://{tmp_path}/out/batch=1")
+    resume.run(units, work, f"file://{tmp_path}/out", log, 4)
+    rows = spark.read.parquet(f"file://{tmp_path}/out")
+    assert rows.count() == rows.select("unit").distinct().count() == 40 and log.pending(units).isEmpty()
+    (tmp_path / "stop").touch()
+    assert resume.Stop(spark, flag=f"file://{tmp_path}/stop").asked()
