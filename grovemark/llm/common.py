@@ -62,7 +62,8 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the rows of an Arrow batch, since a batch of whole texts is held in memory at once."""
+    """Bounds the rows of an Arrow batch, since a batch of whole texts is held in memory at once; Spark bounds its bytes by
+    spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set otherwise."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
