@@ -5,6 +5,7 @@ Spans are (report, start, end), half-open. gold and predicted rows carry an id t
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,21 +36,28 @@ def candidates(gold: DataFrame, predicted: DataFrame, criterion: str = "overlaps
 
 def match(gold: DataFrame, predicted: DataFrame, criterion: str = "overlaps") -> DataFrame:
     """report, g_id, p_id, jaccard: each gold span, in order of place, takes the free predicted span of greatest overlap, of
-    equal ones the first. A choice depends on those before it, so a report's admitted pairs meet in one group."""
-
-    def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["g_start", "g_end", "g_id", "jaccard", "p_start", "p_end", "p_id"], ascending=[True, True, True, False, True, True, True])
-        done, taken, keep = set(), set(), []
-        for i, (g, p) in enumerate(zip(part["g_id"], part["p_id"], strict=True)):
-            if g not in done and p not in taken:
-                done.add(g)
-                taken.add(p)
-                keep.append(i)
-        return part.iloc[keep][["report", "g_id", "p_id", "jaccard"]]
-
-    pairs = candidates(gold, predicted, criterion)
-    kind = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("report", "g_id", "p_id", "jaccard"))
-    return pairs.groupBy("report").applyInPandas(greedy, kind)
+    equal ones the first. A choice depends on those before it, so a report's two lists of spans meet in one group; pairs are
+    looked at one gold span at a time and never listed."""
+    kind = gold.schema["report"].dataType.simpleString()
+
+    def greedy(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        g, p = g.sort_values(["start", "end", "id"]), p.sort_values(["start", "end", "id"])
+        start, end, free, keep = p["start"].to_numpy(), p["end"].to_numpy(), np.ones(len(p), bool), []
+        for i, a, b in zip(g["id"], g["start"], g["end"], strict=True):
+            fits = free & (((start == a) & (end == b)) if criterion == "exact" else ((start < b) & (a < end)))
+            at = np.nonzero(fits)[0]
+            if len(at):
+                union = np.maximum(end[at], b) - np.minimum(start[at], a)
+                shared = np.maximum(0, np.minimum(end[at], b) - np.maximum(start[at], a))
+                j = np.divide(shared, union, out=np.zeros(len(at)), where=union > 0)
+                best = int(j.argmax())
+                free[at[best]] = False
+                keep.append((i, p["id"].iloc[at[best]], float(j[best])))
+        report = g["report"].iloc[0] if len(g) else None
+        return pd.DataFrame({"report": pd.Series([report] * len(keep), dtype=object), "g_id": pd.Series([k[0] for k in keep], dtype="int64"), "p_id": pd.Series([k[1] for k in keep], dtype="int64"), "jaccard": pd.Series([k[2] for k in keep], dtype=float)})
+
+    narrow = lambda d: d.select("report", F.col("id").cast("long").alias("id"), "start", "end").groupBy("report")
+    return narrow(gold).cogroup(narrow(predicted)).applyInPandas(greedy, f"report {kind}, g_id long, p_id long, jaccard double")
 
 
 def span_prf(gold: DataFrame, predicted: DataFrame, matched: DataFrame) -> DataFrame:
