@@ -8,7 +8,7 @@ every url. Of the fitting prefix rules the longest decides; without one the firs
 text) blocks, else the url is allowed.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; an empty table
-gives an empty result; repeated rows are judged each; other columns of the input are not touched.
+gives an empty result; repeated rows are judged each; other columns of the input are not touched; a column to keep that is named like one of the result's is an error.
 """
 
 from __future__ import annotations
@@ -73,7 +73,8 @@ def token_counts(urls: DataFrame, column: str, tokens: Sequence[str]) -> dict[st
     if not tokens:
         return {}
     # Rule tokens are the small side, bounded by the rule list; only hits leave the scan.
-    found = urls.select(F.explode(F.array_distinct(F.array_intersect(F.regexp_extract_all(F.lower(column), F.lit(r"[a-z0-9]+"), F.lit(0)), F.array(*map(F.lit, tokens))))).alias("token"))
+    wanted = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string"))
+    found = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(r"[a-z0-9]+"), F.lit(0)))).alias("token")).join(wanted, "token")
     return {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
@@ -120,6 +121,8 @@ def filter_urls(pages: DataFrame, column: str = "url", base: Sequence[tuple[str,
     longer list is to be split and the verdicts of its parts combined by rule length.
     """
     rules = [prefix_rule(*r) for r in base] + [pattern_rule(p) for p in patterns]
+    if clash := {"host", "path", "rule", "verdict", "pattern"}.intersection(keep):
+        raise ValueError(f"columns to keep that the result has too: {', '.join(sorted(clash))}")
     if len(rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; the bound is {max_rules}")
     small_batches(pages.sparkSession, 4096)

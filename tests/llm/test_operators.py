@@ -44,6 +44,10 @@ def test_urls(spark):
     assert got[8] == (None, "block") and got[9] == (None, "allow") and got[11] == (None, "block") and got[12] == (None, "allow")
     twice = df.withColumn("host", F.lit("own")).unionByName(df.withColumn("host", F.lit("own")))
     assert url_filter.filter_urls(twice).count() == 2 * len(urls)
+    with pytest.raises(ValueError, match="host"):
+        url_filter.filter_urls(twice, keep=("page_id", "host"))
+    many = url_filter.filter_urls(df, patterns=[*url_filter.PATTERNS, *(f"^word{i}^" for i in range(20_000))])
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in many.collect()} == got
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
