@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from grovemark.operators.graph import Levels, longest_depths, nodes
+from grovemark.operators.graph import MAX_EDGES, Levels, longest_depths, nodes
 from grovemark.plans.scratch import settled
 
 
@@ -138,7 +138,9 @@ def verdicts(edges: DataFrame, scores: DataFrame, accept: Sequence[float], prune
     In order of depth a term is pruned if a parent is, or if a parent and one of that parent's parents are low. Low means
     pruned or, by the rule confident, scored below tau_prune; by the rule two_no, answered no. Terms of depth up to
     skip_depth are skipped and never low. The scores of a report, one a term, meet in one group and all threshold pairs
-    are walked there; the graph travels to the tasks and has to be of bounded size."""
+    are walked there; the graph travels to the tasks, and its size is checked."""
+    if edges.count() > MAX_EDGES:
+        raise ValueError(f"the graph has over {MAX_EDGES} edges, too many to travel to every task")
     graph = scores.sparkSession.sparkContext.broadcast(Levels(edges, max_levels))
 
     def walked(part: pd.DataFrame) -> pd.DataFrame:
