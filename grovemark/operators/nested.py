@@ -4,6 +4,9 @@ reports that took no part in either.
 space(*by, pooling, report, term, r, score, n_calls): every term of every report with its widest path r and score under one
 way of pooling; by tells variants apart (an index, a number of segments). folds(report, fold, inner): fold holds a report
 out; inner parts the training reports. All choices are rows of one plan, for all folds and variants together.
+
+Terms that agree in everything the protocol looks at may be one row: n, where space and gold have it, is how many terms stand
+behind a row, and term then names the kind. Each count here is a sum of n.
 """
 
 from __future__ import annotations
@@ -21,13 +24,25 @@ def grid_column(values: Sequence[float]) -> Column:
     return F.explode(F.array(*map(F.lit, values)))
 
 
+def weight(rows: DataFrame) -> Column:
+    return F.col("n") if "n" in rows.columns else F.lit(1)
+
+
+def distinct_gold(gold: DataFrame) -> DataFrame:
+    return gold.select("report", "term", weight(gold).alias("n")).distinct()
+
+
+def count_where(on: Column, n: Column) -> Column:
+    return F.sum(F.when(on, n).otherwise(0))
+
+
 def miss_rates(space: DataFrame, gold: DataFrame, reports: DataFrame, taus: Sequence[float], *by: str) -> DataFrame:
     """by, pooling, report, tau, n_gold, miss: the share of a report's gold that a threshold leaves unvisited; terms outside
     the graph are always missed, a report without gold misses nothing."""
     axes = space.select(*by, "pooling").distinct()
     r = space.select(*by, "pooling", "report", "term", "r")
-    asked = F.broadcast(axes).crossJoin(gold.select("report", "term").distinct()).join(r, [*by, "pooling", "report", "term"], "left")
-    low = asked.withColumn("tau", grid_column(taus)).groupBy(*by, "pooling", "report", "tau").agg(F.count(F.lit(1)).alias("n_gold"), F.avg((F.coalesce("r", F.lit(-1.0)) < F.col("tau")).cast("double")).alias("miss"))
+    asked = F.broadcast(axes).crossJoin(distinct_gold(gold)).join(r, [*by, "pooling", "report", "term"], "left")
+    low = asked.withColumn("tau", grid_column(taus)).groupBy(*by, "pooling", "report", "tau").agg(F.sum("n").alias("n_gold"), (count_where(F.coalesce("r", F.lit(-1.0)) < F.col("tau"), F.col("n")) / F.sum("n")).alias("miss"))
     every = F.broadcast(axes).crossJoin(reports.select("report").distinct()).withColumn("tau", grid_column(taus))
     return every.join(low, [*by, "pooling", "report", "tau"], "left").na.fill(0, ["n_gold"]).na.fill(0.0, ["miss"])
 
@@ -35,7 +50,7 @@ def miss_rates(space: DataFrame, gold: DataFrame, reports: DataFrame, taus: Sequ
 def calls_at(space: DataFrame, taus: Sequence[float], *by: str) -> DataFrame:
     """by, pooling, report, tau, calls, visited: what a walk at each threshold costs."""
     seen = space.withColumn("tau", grid_column(taus)).where("r >= tau")
-    return seen.groupBy(*by, "pooling", "report", "tau").agg(F.sum("n_calls").alias("calls"), F.count(F.lit(1)).alias("visited"))
+    return seen.groupBy(*by, "pooling", "report", "tau").agg(F.sum(F.col("n_calls") * weight(space)).alias("calls"), F.sum(weight(space)).alias("visited"))
 
 
 def breakpoints(space: DataFrame, gold: DataFrame, floor: float, *by: str) -> DataFrame:
@@ -75,20 +90,25 @@ def prune_pooling(choices: DataFrame, *by: str) -> DataFrame:
 def candidates(space: DataFrame, chosen: DataFrame, gold: DataFrame, folds: DataFrame, leaf: Column, *by: str) -> DataFrame:
     """by, fold, report, inner, own, pool_acc, score, y: what each fold's walk visits among terms that may be predicted,
     under every acceptance pooling, and gold that it does not visit (score null). own: is the report held out there."""
-    y = gold.select("report", "term").distinct().withColumn("y", F.lit(1))
+    y = distinct_gold(gold).withColumnRenamed("n", "n_gold").withColumn("y", F.lit(1))
     visited = space.where(leaf).join(F.broadcast(chosen.select(*by, "fold", F.col("pool_pr").alias("pooling"), "tau_prune")), [*by, "pooling"]).where("r >= tau_prune").select(*by, "fold", "report", "term")
-    scored = visited.join(space.select(*by, F.col("pooling").alias("pool_acc"), "report", "term", "score"), [*by, "report", "term"])
+    scored = visited.join(space.select(*by, F.col("pooling").alias("pool_acc"), "report", "term", "score", weight(space).alias("n")), [*by, "report", "term"])
     axes = space.select(*by, F.col("pooling").alias("pool_acc")).distinct().crossJoin(F.broadcast(chosen.select("fold").distinct()))
     every = F.broadcast(axes).crossJoin(y)
-    met = scored.join(every, [*by, "fold", "pool_acc", "report", "term"], "full").na.fill(0, ["y"])
+    met = scored.join(every, [*by, "fold", "pool_acc", "report", "term"], "full").na.fill(0, ["y"]).withColumn("n", F.coalesce("n", "n_gold")).drop("n_gold")
     held = folds.select("report", F.col("fold").alias("home"), "inner")
     return met.join(held, "report").withColumn("own", F.col("home") == F.col("fold")).drop("home")
 
 
+def outcomes(yes: Column, y: Column, n: Column) -> list[Column]:
+    """tp, fp, fn as sums of n."""
+    return [count_where(on, n).alias(c) for c, on in (("tp", yes & y), ("fp", yes & ~y), ("fn", ~yes & y))]
+
+
 def accept_counts(rows: DataFrame, taus: Sequence[float], *by: str) -> DataFrame:
     yes = F.coalesce(F.col("score") >= F.col("tau_accept"), F.lit(False))
     y = F.col("y") == 1
-    return rows.withColumn("tau_accept", grid_column(taus)).groupBy(*by, "tau_accept").agg(F.count_if(yes & y).alias("tp"), F.count_if(yes & ~y).alias("fp"), F.count_if(~yes & y).alias("fn"))
+    return rows.withColumn("tau_accept", grid_column(taus)).groupBy(*by, "tau_accept").agg(*outcomes(yes, y, weight(rows)))
 
 
 def f1() -> Column:
@@ -109,7 +129,7 @@ def pooled(rows: DataFrame, accepted: DataFrame, *by: str) -> DataFrame:
     """by, report, tp, fp, fn: every report under the choices of the fold that held it out."""
     met = rows.where("own").join(F.broadcast(accepted.select(*by, "fold", "pool_acc", "tau_accept")), [*by, "fold", "pool_acc"])
     yes, y = F.coalesce(F.col("score") >= F.col("tau_accept"), F.lit(False)), F.col("y") == 1
-    return met.groupBy(*by, "report").agg(F.count_if(yes & y).alias("tp"), F.count_if(yes & ~y).alias("fp"), F.count_if(~yes & y).alias("fn"))
+    return met.groupBy(*by, "report").agg(*outcomes(yes, y, weight(met)))
 
 
 def quality(units: DataFrame, *by: str) -> DataFrame:
@@ -123,12 +143,12 @@ def operating_point(space: DataFrame, chosen: DataFrame, gold: DataFrame, folds:
     its own fold's threshold."""
     at = chosen.select(*by, "fold", F.col("pool_pr").alias("pooling"), "tau_prune")
     seen = space.join(folds.select("report", "fold"), "report").join(F.broadcast(at), [*by, "fold", "pooling"]).where("r >= tau_prune")
-    calls = seen.groupBy(*by, "report").agg(F.sum("n_calls").alias("calls"))
+    calls = seen.groupBy(*by, "report").agg(F.sum(F.col("n_calls") * weight(seen)).alias("calls"))
     hit = seen.select(*by, "report", "term").withColumn("hit", F.lit(1))
     variants = chosen.select(*by).distinct() if by else None
-    g = gold.select("report", "term").distinct()
+    g = distinct_gold(gold)
     g = g.crossJoin(F.broadcast(variants)) if by else g
-    cover = g.join(hit, [*by, "report", "term"], "left").groupBy(*by, "report").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("k"))
+    cover = g.join(hit, [*by, "report", "term"], "left").groupBy(*by, "report").agg(count_where(F.col("hit") == 1, F.col("n")).alias("k"), F.sum("n").alias("n"))
     every = folds.select("report").crossJoin(F.broadcast(variants)) if by else folds.select("report")
     met = every.join(calls, [*by, "report"], "left").join(cover, [*by, "report"], "left").na.fill(0, ["calls", "n", "k"])
     miss = ratio(F.col("n") - F.col("k"), F.col("n"))
