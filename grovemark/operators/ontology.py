@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -132,6 +134,18 @@ def expanded_targets(gold: DataFrame, closed: DataFrame, more: DataFrame) -> Dat
     return gold.select("term").distinct().join(closed, F.col("term") == F.col("descendant")).select(F.col("ancestor").alias("term")).union(more.select("term")).distinct()
 
 
+def _cut(g: Levels, skipped: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """Which terms are pruned if these are weak."""
+    low = weak & ~skipped
+    pruned, above = np.zeros(len(low), bool), np.zeros(len(low), bool)  # above: is any parent low
+    for node, parent, first in g.steps:
+        cut = np.logical_or.reduceat((pruned | low & above)[parent], first) & ~skipped[node]
+        above[node] = np.logical_or.reduceat(low[parent], first)
+        pruned[node] = cut
+        low[node] |= cut
+    return pruned
+
+
 def verdicts(edges: DataFrame, scores: DataFrame, accept: Sequence[float], prune: Sequence[float], skip_depth: int = 0, rule: str = "confident", max_levels: int = 64) -> DataFrame:
     """report, tau_accept, tau_prune, term, verdict: yes, no, pruned or skipped, for every pair of thresholds.
 
@@ -150,16 +164,9 @@ def verdicts(edges: DataFrame, scores: DataFrame, accept: Sequence[float], prune
         conf[at] = part["score"].to_numpy(dtype=float)[known]
         skipped = g.depth <= skip_depth
         for ta in accept:
+            yes = np.nan_to_num(conf, nan=0.0) >= ta
             for tp in prune:
-                yes = np.nan_to_num(conf, nan=0.0) >= ta
-                weak = ~skipped & (~yes if rule == "two_no" else conf < tp)
-                pruned, low = np.zeros(len(conf), bool), weak.copy()
-                above = np.zeros(len(conf), bool)  # is any parent low
-                for node, parent, first in g.steps:
-                    cut = np.logical_or.reduceat(pruned[parent] | (low[parent] & above[parent]), first) & ~skipped[node]
-                    above[node] = np.logical_or.reduceat(low[parent], first)
-                    pruned[node] = cut
-                    low[node] |= cut
+                pruned = _cut(g, skipped, ~yes if rule == "two_no" else conf < tp)
                 name = np.where(skipped, "skipped", np.where(pruned, "pruned", np.where(yes, "yes", "no")))
                 out.append(pd.DataFrame({"report": part["report"].iloc[0], "tau_accept": ta, "tau_prune": tp, "term": g.terms, "verdict": name}))
         return pd.concat(out, ignore_index=True)
@@ -168,6 +175,40 @@ def verdicts(edges: DataFrame, scores: DataFrame, accept: Sequence[float], prune
     return scores.select("report", "term", "score").groupBy("report").applyInPandas(walked, f"report {kind}, tau_accept double, tau_prune double, term string, verdict string")
 
 
+def verdict_counts(edges: DataFrame, scores: DataFrame, told: DataFrame, leaf: str, accept: Sequence[float], prune: Sequence[float], skip_depth: int = 0, rule: str = "confident", max_levels: int = 64) -> DataFrame:
+    """report, tau_accept, tau_prune, np, tr, g: of verdicts(), counted where a report is walked: terms like the pattern leaf
+    with the verdict yes, those of them that are gold, and the report's gold. scores(report, term, score) and
+    told(report, term, score, y) each hold a term once and none in common; y: is it gold."""
+    if edges.count() > MAX_EDGES:
+        raise ValueError(f"the graph has over {MAX_EDGES} edges, too many to travel to every task")
+    levels = Levels(edges, max_levels)
+    graph = scores.sparkSession.sparkContext.broadcast((levels, pc.match_like(levels.names, leaf).to_numpy(zero_copy_only=False)))
+
+    def walked(own: pa.Table, known: pa.Table) -> pa.Table:
+        g, leaves = graph.value
+        conf, gold = np.full(len(g.names), np.nan), np.zeros(len(g.names), bool)
+        held = pc.fill_null(known["y"], False).to_numpy()
+        for part in (own, known):
+            at = g.numbers(part["term"])
+            conf[at[at >= 0]] = part["score"].to_numpy()[at >= 0]
+        gold[at[(at >= 0) & held]] = True
+        skipped, pruned, rows = g.depth <= skip_depth, {}, []
+        for ta in accept:
+            yes = np.nan_to_num(conf, nan=0.0) >= ta
+            for tp in prune:
+                key = ta if rule == "two_no" else tp
+                if key not in pruned:
+                    pruned[key] = _cut(g, skipped, ~yes if rule == "two_no" else conf < tp)
+                said = yes & ~skipped & ~pruned[key] & leaves
+                rows.append((ta, tp, int(said.sum()), int((said & gold).sum()), int(held.sum())))
+        columns = [pa.repeat((own if own.num_rows else known)["report"][0], len(rows)), *map(pa.array, zip(*rows, strict=True))]
+        return pa.table(columns, names=["report", "tau_accept", "tau_prune", "np", "tr", "g"])
+
+    left, right = scores.select("report", "term", "score"), told.select("report", "term", "score", "y")
+    kind = scores.schema["report"].dataType.simpleString()
+    return left.groupBy("report").cogroup(right.groupBy("report")).applyInArrow(walked, f"report {kind}, tau_accept double, tau_prune double, np long, tr long, g long")
+
+
 def sweep_summary(rows: DataFrame, floor: float) -> DataFrame:
     """which, tau_accept, tau_prune, precision, recall, f1 of rows: the best f1, and the best recall at a precision of at
     least floor; ties to the smaller thresholds."""

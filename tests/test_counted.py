@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grovemark.operators import graph, nested
+from grovemark.operators import graph, nested, ontology
 from grovemark.plans import nested_queries as nq
 
 D = "/root/testdata/sf0.001"
@@ -54,3 +54,24 @@ def test_counted_rows_stand_for_terms(spark):
         frames = (misses, calls, chosen, acc, nested.pooled(rows, acc), nested.operating_point(sp, chosen, y, fd))
         out.append([sorted(repr({k: round(v, 9) if isinstance(v, float) else v for k, v in sorted(r.asDict().items())}) for r in f.collect()) for f in frames])
     assert out[0] == out[1]
+
+
+@pytest.mark.parametrize("rule", ["confident", "two_no"])
+def test_verdict_counts_agree_with_listed_verdicts(spark, rule):
+    rng = np.random.default_rng(8)
+    edges = spark.createDataFrame(sorted({(f"P{i}" if i > 20 else f"n{i}", f"n{int(p)}") for i in range(2, 50) for p in rng.integers(0, min(i, 20), 2)}), "child string, parent string")
+    scored = [(r, f"P{i}" if i > 20 else f"n{i}", float(rng.random())) for r in range(3) for i in range(50) if rng.random() < 0.8]
+    schema = "report long, term string, score double"
+    inner, leaves = (spark.createDataFrame([x for x in scored if x[1].startswith("P") == on], schema) for on in (False, True))
+    told = leaves.withColumn("y", F.length("term") + F.col("report") > 3).union(spark.createDataFrame([(0, "P999", None, True), (7, "P30", 0.9, True)], schema + ", y boolean"))
+    accept, prune = (0.3, 0.6), (0.2, 0.5)
+    got = {tuple(r) for r in ontology.verdict_counts(edges, inner, told, "P%", accept, prune, 1, rule).collect()}
+    yes = [(r["report"], r["tau_accept"], r["tau_prune"], r["term"]) for r in ontology.verdicts(edges, inner.union(told.select("report", "term", "score")), accept, prune, 1, rule).where("verdict = 'yes' and term like 'P%'").collect()]
+    gold = {(r["report"], r["term"]) for r in told.where("y").collect()}
+    want = set()
+    for r in (0, 1, 2, 7):
+        for ta in accept:
+            for tp in prune:
+                mine = [t for q, a, p, t in yes if (q, a, p) == (r, ta, tp)]
+                want.add((r, ta, tp, len(mine), sum((r, t) in gold for t in mine), sum(q == r for q, _ in gold)))
+    assert got == want
