@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -74,6 +74,77 @@ def within_hops(gold: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return done
 
 
+class Links:
+    """An undirected graph as numbers: each node's neighbours in one array. It travels to the tasks like Levels. lot: steps
+    taken at once; places that take more are walked in smaller groups."""
+
+    def __init__(self, edges: DataFrame, lot: int) -> None:
+        self.lot = lot
+        both = neighbours(edges).toArrow()
+        self.names = pc.unique(both["term"]).sort()
+        x, y = (pc.index_in(both[c], value_set=self.names).to_numpy() for c in ("term", "other"))
+        self.other = y[np.argsort(x, kind="stable")]
+        self.degree = np.bincount(x, minlength=len(self.names))
+        self.start = np.cumsum(self.degree) - self.degree
+
+    def step(self, keys: np.ndarray) -> np.ndarray | None:
+        """The neighbours of keys (place times nodes plus node), distinct and sorted; None if they are too many at once."""
+        place, node = np.divmod(keys, len(self.names))
+        n = self.degree[node]
+        if n.sum() > self.lot and len(keys) and place[0] != place[-1]:
+            return None
+        at = np.repeat(self.start[node] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.unique(np.repeat(place, n) * len(self.names) + self.other[at])
+
+    def counts(self, keys: np.ndarray, most: int, out: np.ndarray) -> None:
+        """Adds to out[hops, place] how many nodes lie that many steps from the sorted keys of a place."""
+        rings = [keys]
+        for _ in range(most):
+            step = self.step(rings[-1])
+            if step is None:
+                place = keys // len(self.names)
+                cut = np.searchsorted(place, (place[0] + place[-1] + 1) // 2)
+                self.counts(keys[:cut], most, out)
+                self.counts(keys[cut:], most, out)
+                return
+            # A neighbour of the last ring lies in it, in the one before or in the next.
+            for ring in rings[-2:]:
+                step = step[~_held(step, ring)]
+            rings.append(step)
+        for hops, ring in enumerate(rings):
+            np.add.at(out[hops], ring // len(self.names), 1)
+
+
+def _held(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of the keys are among the sorted others."""
+    if not len(of):
+        return np.zeros(len(keys), bool)
+    return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys
+
+
+def within_counts(gold: DataFrame, edges: DataFrame, most: int, lot: int = 4_000_000) -> DataFrame:
+    """report, distance, n: within_hops() counted where a report's gold lies, so that the terms are never listed. Gold outside
+    the graph does not count. Above the graph's bound the terms are listed and then counted."""
+    if edges.count() > MAX_EDGES:
+        inside = gold.join(nodes(edges), "term", "left_semi").select("report", "term")
+        return within_hops(inside, edges, most).groupBy("report", "distance").agg(F.count(F.lit(1)).alias("n"))
+    graph = gold.sparkSession.sparkContext.broadcast(Links(edges, lot))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = graph.value
+        for b in batches:
+            at = pc.fill_null(pc.index_in(b["terms"].flatten(), value_set=g.names), -1).to_numpy(zero_copy_only=False)
+            place = np.repeat(np.arange(len(b)), pc.list_value_length(b["terms"]).to_numpy(zero_copy_only=False))
+            out = np.zeros((most + 1, len(b)), np.int64)
+            if (at >= 0).any():
+                g.counts(np.unique(place[at >= 0] * len(g.names) + at[at >= 0]), most, out)
+            hops, row = np.nonzero(out)
+            yield pa.RecordBatch.from_arrays([b["report"].take(pa.array(row)), pa.array(hops, pa.int32()), pa.array(out[hops, row])], names=["report", "distance", "n"])
+
+    each = gold.groupBy("report").agg(F.collect_set("term").alias("terms"))
+    return each.mapInArrow(counted, f"report {gold.schema['report'].dataType.simpleString()}, distance int, n long")
+
+
 def reachable(edges: DataFrame, expanded: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
     """report, term: what can be reached from the roots through terms that the report expanded(report, term)."""
     seen = settled(expanded.select("report").distinct().crossJoin(F.broadcast(roots.select("term").distinct())))

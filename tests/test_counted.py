@@ -75,3 +75,14 @@ def test_verdict_counts_agree_with_listed_verdicts(spark, rule):
                 mine = [t for q, a, p, t in yes if (q, a, p) == (r, ta, tp)]
                 want.add((r, ta, tp, len(mine), sum((r, t) in gold for t in mine), sum(q == r for q, _ in gold)))
     assert got == want
+
+
+@pytest.mark.parametrize("lot", [4_000_000, 3])
+def test_within_counts_agree_with_listed_terms(spark, lot):
+    rng = np.random.default_rng(6)
+    edges = spark.createDataFrame(sorted({(f"n{i}", f"n{int(p)}") for i in range(1, 60) for p in rng.integers(max(0, i - 9), i, 2)}), "child string, parent string")
+    gold = spark.createDataFrame(sorted({(int(r), f"n{int(t)}") for r, t in zip(rng.integers(0, 7, 20), rng.integers(0, 60, 20), strict=True)}) + [(1, "unknown"), (99, "unknown")], "report long, term string")
+    for most in (0, 2, 4):
+        inside = gold.where("term <> 'unknown'")
+        want = sorted(tuple(r) for r in ontology.within_hops(inside, edges, most).groupBy("report", "distance").count().collect())
+        assert sorted(tuple(r) for r in ontology.within_counts(gold, edges, most, lot).collect()) == want
