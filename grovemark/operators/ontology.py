@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from grovemark.operators.graph import MAX_EDGES, Levels, longest_depths, nodes
+from grovemark.operators.graph import COUNTED_EDGES, MAX_EDGES, Levels, longest_depths, nodes
 from grovemark.plans.scratch import settled
 
 
@@ -131,7 +131,7 @@ def _held(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
 def within_counts(gold: DataFrame, edges: DataFrame, most: int, lot: int = 4_000_000) -> DataFrame:
     """report, distance, n: within_hops() counted where a report's gold lies, so that the terms are never listed. Gold outside
     the graph does not count. Above the graph's bound the terms are listed and then counted."""
-    if edges.count() > MAX_EDGES:
+    if edges.count() > COUNTED_EDGES:
         inside = gold.join(nodes(edges), "term", "left_semi").select("report", "term")
         return within_hops(inside, edges, most).groupBy("report", "distance").agg(F.count(F.lit(1)).alias("n"))
     graph = gold.sparkSession.sparkContext.broadcast(Links(edges, lot))
@@ -256,8 +256,8 @@ def verdict_counts(edges: DataFrame, scores: DataFrame, told: DataFrame, leaf: s
     """report, tau_accept, tau_prune, np, tr, g: of verdicts(), counted where a report is walked: terms like the pattern leaf
     with the verdict yes, those of them that are gold, and the report's gold. scores(report, term, score) and
     told(report, term, score, y) each hold a term once and none in common; y: is it gold."""
-    if edges.count() > MAX_EDGES:
-        raise ValueError(f"the graph has over {MAX_EDGES} edges, too many to travel to every task")
+    if edges.count() > COUNTED_EDGES:
+        raise ValueError(f"the graph has over {COUNTED_EDGES} edges, too many to travel to every task")
     levels = Levels(edges, max_levels)
     graph = scores.sparkSession.sparkContext.broadcast((levels, pc.match_like(levels.names, leaf).to_numpy(zero_copy_only=False)))
 

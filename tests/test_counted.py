@@ -11,7 +11,7 @@ D = "/root/testdata/sf0.001"
 EDGES = [("A", "R"), ("B", "R"), ("P1", "A"), ("P2", "A"), ("P2", "B"), ("P3", "B"), ("P4", "A"), ("P5", "B")]
 
 
-@pytest.mark.parametrize("most", [graph.MAX_EDGES, 0])
+@pytest.mark.parametrize("most", [graph.COUNTED_EDGES, 0])
 def test_width_classes_count_every_term(spark, most):
     edges = spark.createDataFrame(EDGES, "child string, parent string")
     scores = spark.createDataFrame([(1, "R", 0.9), (1, "A", 0.4), (1, "B", 0.7), (2, "R", 0.5)], "report long, term string, score double")
