@@ -36,14 +36,14 @@ _X = {"cv": _CV, "lb": _LB, "sv": _SV, "tv": _TV, "nr": _NR, "mg": _MG, "walk":
 
 def _run(spark, d):
     segments = _turns(spark, d).select("report", F.col("i").cast("int").alias("segment_idx"), F.col("t").alias("segment"))
-    return x.extract(segments, _terms(spark, d), fx.edges(spark, d), s=3, tau_prune=0.7)
+    return x.extract_counted(segments, _terms(spark, d), fx.edges(spark, d), "P%", s=3, tau_prune=0.7)
 
 
 @query("tree_extract", "report:i n_visited:i n_expanded:i n_accepted:i n_calls:i insertions:i",
        sql("SELECT w.report, count(*) AS n_visited, count_if(score >= 0.7) AS n_expanded, count_if(score >= 0.85) AS n_accepted, sum(n_calls) AS n_calls, coalesce(sum(CASE WHEN score >= 0.7 THEN k.n END), 0) AS insertions FROM walk w JOIN mg ON mg.report = w.report AND mg.term = w.term LEFT JOIN (SELECT parent, count(*) AS n FROM edges GROUP BY 1) k ON k.parent = w.term GROUP BY w.report", "nodes", **_X))
 def _(spark, d):
     """Extraction from the conversations down the test graph: what each report's walk visited, opened, accepted and asked."""
-    return _run(spark, d).summary(fx.edges(spark, d), 0.85)
+    return _run(spark, d).summary(0.85)
 
 
 @query("tree_predictions", "tau:d n:i n_reports:i", sql("SELECT tau, count(*) AS n, count(DISTINCT w.report) AS n_reports FROM walk w JOIN mg ON mg.report = w.report AND mg.term = w.term CROSS JOIN (SELECT CAST(unnest([0.75, 0.85]) AS DOUBLE) AS tau) WHERE score >= tau AND w.term LIKE 'P%' GROUP BY tau", "nodes", **_X))
@@ -51,14 +51,14 @@ def _(spark, d):
     """Predictions at two acceptance thresholds from one walk."""
     r, out = _run(spark, d), None
     for tau in (0.75, 0.85):
-        p = r.accepted(tau, F.col("term").startswith("P")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("report").alias("n_reports")).select(F.lit(tau).alias("tau"), "n", "n_reports")
+        p = r.accepted(tau).where("n > 0").select(F.lit(tau).alias("tau"), "n", "n_reports")
         out = p if out is None else out.unionByName(p)
     return out
 
 
 @query("tree_depth_table", "level:i n_visited:i n_expanded:i n_calls:i", sql("SELECT CASE left(w.term, 1) WHEN 'R' THEN 1 WHEN 'N' THEN 2 WHEN 'S' THEN 3 ELSE 4 END AS level, count(*) AS n_visited, count_if(score >= 0.7) AS n_expanded, sum(n_calls) AS n_calls FROM walk w JOIN mg ON mg.report = w.report AND mg.term = w.term GROUP BY 1", "nodes", **_X))
 def _(spark, d):
-    return _run(spark, d).by_depth().groupBy("level").agg(*[F.sum(c).alias(c) for c in ("n_visited", "n_expanded", "n_calls")])
+    return _run(spark, d).by_depth()
 
 
 @query("prompts", "id:i n_chars:i digest:s", f"SELECT p_partkey AS id, length(p) AS n_chars, md5(p) AS digest FROM (SELECT p_partkey, replace(replace(replace('{x.TEMPLATE}', '{{label}}', p_type || ' ' || p_name), '{{definition}}', CASE WHEN p_size > 25 THEN p_brand ELSE '' END), '{{sent}}', p_name) AS p FROM part)")
