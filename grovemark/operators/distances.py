@@ -2,8 +2,8 @@
 
 The graph travels to the tasks, about 10 bytes an edge, 32 bytes a node and the names. Distances from the nodes of most
 edges (hubs) are known to all nodes; a path that meets a hub is no shorter than by way of it. What avoids them is looked for
-by its length: up to four steps by lookups of edges and of two-step paths, beyond that by a walk of the whole graph, so the
-distances are exact on every graph."""
+by its length: up to four steps by lookups of edges and of two-step paths, beyond that by spheres that grow from both ends,
+and where these are large by a walk of the whole graph, so the distances are exact on every graph."""
 
 from __future__ import annotations
 
@@ -35,11 +35,68 @@ def _lots(size: np.ndarray, lot: int) -> Iterator[slice]:
         lo = hi
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order, by sorting keys in place; np.unique hashes them one by one."""
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new]
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among known, which are sorted?"""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def _hashes(terms: pa.Array, lot: int = 250_000) -> np.ndarray:
+    """A number of 64 bits for each string, equal for equal strings."""
+    out = np.zeros(len(terms), np.uint64)
+    for lo in range(0, len(terms), lot):
+        some = pc.fill_null(terms.slice(lo, lot), "")
+        starts = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1].astype(np.int64)
+        size = np.diff(starts)
+        if not size.any():
+            continue
+        data = np.frombuffer(some.buffers()[2], np.uint8)[starts[0] : starts[-1]]
+        power = np.cumprod(np.full(int(size.max()), 0xD1342543DE82EF95, np.uint64))
+        each = (data.astype(np.uint64) + np.uint64(1)) * power[_ranges(np.zeros(len(size), np.int64), size)]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each)))
+        out[lo : lo + lot] = sums[starts[1:] - starts[0]] - sums[starts[:-1] - starts[0]]
+    return out
+
+
+class _Numbers:
+    """The places of strings among names, which are distinct. The hash table of a lookup in Arrow is built anew by each call."""
+
+    def __init__(self, names: pa.Array) -> None:
+        own = _hashes(names)
+        self.names, self.order = names, np.argsort(own).astype(np.int32)
+        self.hashes = own[self.order]
+
+    def of(self, terms: pa.Array) -> np.ndarray:
+        """-1 for what is no name."""
+        own = _hashes(terms)
+        out, at = np.full(len(terms), -1, np.int64), np.searchsorted(self.hashes, own)
+        left = np.flatnonzero(pc.is_valid(terms).to_numpy(zero_copy_only=False))
+        while len(left):
+            left = left[at[left] < len(self.hashes)]
+            left = left[self.hashes[at[left]] == own[left]]
+            place = self.order[at[left]]
+            same = pc.equal(self.names.take(pa.array(place)), terms.take(pa.array(left))).to_numpy(zero_copy_only=False).astype(bool)
+            out[left[same]] = place[same]
+            # Another name may have the same hash.
+            left = left[~same]
+            at[left] += 1
+        return out
+
+
 class _Keys:
     """A set of numbers; most of what is not in it is told by a table of bits of their products."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.keys = np.unique(keys)
+        self.keys = _distinct(keys)
         self.shift = np.uint64(64 - max(4, int(8 * len(self.keys)).bit_length()))
         table = np.zeros(1 << (64 - int(self.shift)), bool)
         table[self._at(self.keys)] = True
@@ -80,15 +137,21 @@ class Graph:
     def __init__(self, edges: DataFrame, inside: DataFrame | None, hubs: int = HUBS) -> None:
         pairs = edges.select("child", "parent").where("child is not null and parent is not null").distinct().toArrow()
         own = None if inside is None else inside.select("term").where("term is not null").distinct().toArrow()["term"]
-        chunks = [*pairs["child"].chunks, *pairs["parent"].chunks, *([] if own is None else own.chunks)]
-        names = pc.unique(pa.chunked_array(chunks, pa.string())).cast(pa.string())
-        self.names = names.take(pc.sort_indices(names))
-        n = len(self.names)
-        self.child, self.parent = (self.numbers(pairs[c]).astype(np.int32) for c in ("child", "parent"))
+        m, known = len(pairs), [] if own is None else own.chunks
+        met = pa.chunked_array([*pairs["child"].chunks, *pairs["parent"].chunks, *known, pa.array([], pa.string())], pa.string())
+        del pairs, own, known
+        met = met.dictionary_encode()  # all chunks have one dictionary
+        at, names = np.concatenate([c.indices.to_numpy() for c in met.chunks]), met.chunk(met.num_chunks - 1).dictionary.cast(pa.string())
+        order = pc.sort_indices(names)
+        self.names, n = names.take(order), len(names)
+        place = np.empty(n, np.int32)
+        place[order.to_numpy()] = np.arange(n, dtype=np.int32)
+        at = place[at]
+        self.child, self.parent = at[:m].copy(), at[m : 2 * m].copy()
         self.inside = np.zeros(n, bool)
-        self.inside[np.concatenate((self.child, self.parent)) if own is None else self.numbers(own)] = True
-        top = np.argsort(-np.bincount(np.concatenate((self.child, self.parent)), minlength=n), kind="stable")[:hubs]
-        del pairs, own, chunks, names
+        self.inside[at if inside is None else at[2 * m :]] = True
+        top = np.argsort(-np.bincount(at[: 2 * m], minlength=n), kind="stable")[:hubs]
+        del met, at, names, order, place
         both, far = self.links(), []
         for h in top:
             d = self.spread(np.array([h]), both)[0]
@@ -97,15 +160,12 @@ class Graph:
             far.append(np.where(d < 0, np.iinfo(kind).max, d).astype(kind))
         self.hubs, self.far = top, far
 
-    def numbers(self, terms: pa.Array | pa.ChunkedArray) -> np.ndarray:
-        """The terms' numbers; -1 for what is no term of the graph."""
-        return pc.fill_null(pc.index_in(terms, value_set=self.names, skip_nulls=True), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-
     def links(self) -> _Links:
         """Every edge in both directions, once."""
         n = len(self.names)
         a, b = self.child.astype(np.int64), self.parent.astype(np.int64)
-        key = np.unique(np.concatenate(((a * n + b)[a != b], (b * n + a)[a != b])))
+        key = _distinct(np.concatenate(((a * n + b)[a != b], (b * n + a)[a != b])))
+        del a, b
         return _Links(n, key // max(n, 1), key % max(n, 1))
 
     @staticmethod
@@ -135,6 +195,7 @@ class Graph:
         """Adds the lookups, once in each worker."""
         if not hasattr(self, "both"):
             n = len(self.names)
+            self.places = _Numbers(self.names)
             self.up = _Links(n, self.child, self.parent)
             self.inner = np.zeros(n, bool)
             self.inner[self.parent] = True
@@ -228,12 +289,53 @@ class Graph:
             found = np.zeros(len(a), bool)
             found[hit[~wide[hit]]] = True
             left = left[~found[left]]
-        next_ = np.where(self.even & met[left], 5 + ((most[left] ^ 5) & 1), 5)
+        next_ = np.maximum(np.where(self.even & met[left], 5 + ((most[left] ^ 5) & 1), 5), least[left])
         left = left[wide[left] | (most[left] > next_)]
+        if len(left):
+            out[left], large = self.spheres(a[left], b[left], most[left])
+            left = left[large]
         if len(left):
             out[left] = self.walked(a[left], b[left])
         return out
 
+    def spheres(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Steps of the shortest path without hubs between a and b where these are below most, else most, or -1 for the
+        greatest number; and which pairs are left undecided, for their spheres are large.
+
+        Spheres around both ends grow by turns, the cheaper one first, and meet at the shortest path."""
+        n, out, large, none = len(self.names), most.copy(), np.zeros(len(a), bool), np.zeros(0, np.int64)
+        todo = [(0, at, (at * n + a[at], at * n + b[at]), (none, none)) for at in (np.arange(lot.start, lot.stop) for lot in _lots(np.ones(len(a), np.int64), ROWS))]
+        while todo:
+            k, row, last, before = todo.pop()
+            cost = [np.bincount(np.searchsorted(row, s // n), self.light.size(s % n), len(row)) for s in last]
+            least = np.minimum(*cost)
+            # A sphere that cannot grow has met all it can meet.
+            go = (k + 1 < most[row]) & (least > 0)
+            large[row[go & (least > WIDE)]] = True
+            go &= least <= WIDE
+            row, least, turn = row[go], least[go], (cost[1] < cost[0])[go]
+            last, before = (tuple(s[_among(s // n, row)] for s in side) for side in (last, before))
+            if not len(row):
+                continue
+            if least.sum() > LOT and len(row) > 1:
+                cut = row[len(row) // 2] * n
+                todo += [(k, r, tuple(s[f(s)] for s in last), tuple(s[f(s)] for s in before)) for r, f in ((row[: len(row) // 2], lambda s: s < cut), (row[len(row) // 2 :], lambda s: s >= cut))]  # noqa: B023
+                continue
+            now, past = [], []
+            for i in (0, 1):
+                grows, grew = (turn[np.searchsorted(row, s // n)] == i for s in (last[i], before[i]))
+                own = last[i][grows]
+                at, node = self.light.of(own % n)
+                new = _distinct((own // n)[at] * n + node)
+                new = new[~_among(new, own) & ~_among(new, before[i])]
+                now.append(np.sort(np.concatenate((last[i][~grows], new))))
+                past.append(np.sort(np.concatenate((before[i][~grew], own))))
+            met = now[0][_among(now[0], now[1])] // n
+            out[met] = k + 1
+            row = row[~_among(row, met)]
+            todo.append((k + 1, row, *(tuple(s[_among(s // n, row)] for s in side) for side in (now, past))))
+        return np.where(out == np.iinfo(np.int32).max, -1, out), large
+
     def walked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """between() by walking the graph, 64 nodes at a time, a bit each."""
         nodes, row = np.unique(a, return_inverse=True)
@@ -313,7 +415,7 @@ class Graph:
         report, n = rows["report"], len(self.names)
         new = np.ones(len(rows), bool)
         new[1:] = pc.fill_null(pc.not_equal(report.slice(1), report.slice(0, len(rows) - 1)), True).to_numpy()
-        group, at, g = np.cumsum(new) - 1, self.numbers(rows["term"]), rows["g"].to_numpy()
+        group, at, g = np.cumsum(new) - 1, self.places.of(rows["term"].combine_chunks()), rows["g"].to_numpy()
         ok = at >= 0
         ok[ok] = self.inside[at[ok]]
         ok_gold = g & ok

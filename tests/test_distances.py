@@ -83,3 +83,28 @@ def test_large_graphs_are_not_refused(spark):
         assert miss == [(r, t, -1 if d is None else d) for r, t, _, d in want]
         kinds = {(r["report"], r["term"]): r["kind"] for r in errors.nearest_kinds(gold, pred, edges, lambda: graph.closure(edges), graph.nodes(edges), most).collect()}
         assert kinds == {(1, "A"): "ancestor", (1, "B"): "ancestor", (1, "P2"): "sibling", (1, "Q"): "unrelated", (2, "P1"): "unrelated", (3, "P1"): "no_gold"}
+
+
+def test_far_pairs_are_not_walked_over_the_whole_graph(monkeypatch):
+    g = object.__new__(distances.Graph)
+    # A path of 30 nodes, a ring of 9, two nodes apart.
+    edges = [(i, i + 1) for i in range(29)] + [(30 + i, 30 + (i + 1) % 9) for i in range(9)] + [(39, 40)]
+    g.names, g.inside, g.hubs, g.far = pa.array([f"n{i:02}" for i in range(41)]), np.ones(41, bool), np.array([], int), []
+    g.child, g.parent = (np.array(x, np.int32) for x in zip(*edges, strict=True))
+    a, b = np.divmod(np.arange(41 * 41), 41)
+    a, b = a[a != b], b[a != b]
+    want = g.ready().walked(a, b)
+    monkeypatch.setattr(distances.Graph, "walked", None)
+    for lot in (500_000, 40):
+        monkeypatch.setattr(distances, "LOT", lot)
+        assert g.between(a, b).tolist() == want.tolist() and want.max() == 29 and want.min() == -1
+
+
+def test_names_are_found_by_their_hashes(monkeypatch):
+    names = pa.array(["", "a", "bé", "x" * 300, "P1", "P10"])
+    asked = pa.array(["z", *["P10", "", None, "bé", "P1", "a", "x" * 299, "x" * 300, "P2"]]).slice(1)
+    want = [5, 0, -1, 2, 4, 1, -1, 3, -1]
+    assert distances._Numbers(names).of(asked).tolist() == want
+    assert distances._hashes(asked, 2).tolist() == distances._hashes(asked).tolist()
+    monkeypatch.setattr(distances, "_hashes", lambda terms: np.zeros(len(terms), np.uint64))
+    assert distances._Numbers(names).of(asked).tolist() == want and distances._Numbers(names.slice(0, 0)).of(asked).tolist() == [-1] * 9
